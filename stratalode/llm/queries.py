@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalode.llm import bpe, pii, quality_rules, secrets, sharding, token_counts
+from stratalode.llm import bpe, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
 from stratalode.llm.runtime import read_table
 
 
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_sharding": op7_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
