@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalode.llm import bpe, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
+from stratalode.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
 from stratalode.llm.runtime import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digests(secrets.scan(docs))
@@ -45,6 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
