@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalode.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
+from stratalode.llm import bpe, decontamination, near_dup, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
 from stratalode.llm.runtime import read_table
 
 
@@ -39,6 +39,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.similar(read_table(spark, sf_dir, "documents"), k=4)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_sharding": op7_sharding,
+    "op8_near_dup": op8_near_dup,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
