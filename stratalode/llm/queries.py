@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalode.llm import bpe, decontamination, near_dup, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
+from stratalode.llm import bpe, decontamination, lm_scoring, near_dup, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
 from stratalode.llm.runtime import read_table
 
 
@@ -35,6 +35,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return lm_scoring.cross_entropy_difference(docs, labels.filter("quality = 1").select("doc_id"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_sharding": op7_sharding,
     "op8_near_dup": op8_near_dup,
     "op9_quality_rules": op9_quality_rules,
