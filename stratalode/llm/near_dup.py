@@ -18,8 +18,13 @@
    blocks, and each two blocks are compared as a small node; nothing is capped.
 4. Components of the links, by large and small stars.
 
+The trees come in two rounds.  The links of the first ``FIRST`` trees give
+components, and in the other trees only pairs of different components count: a
+node of one component is left out, so a large group of near copies, which one
+or two trees join, is not compared twelve times.
+
 Skew: hot minwise tokens make large nodes, which branch on; a hot class is one
-row.  What a task holds is a node: at most about ``SMALL`` sets.
+row.  What a task holds is a node: at most ``SMALL`` sets with ``MASS`` shingles.
 
 Defined results: null and empty texts have the empty set and link with
 nothing; a row without id keeps its row, with a null component; repeated ids
@@ -40,7 +45,9 @@ from stratalode.llm.components import components
 from stratalode.llm.runtime import id_text, materialize, runs, steps, strings
 from stratalode.llm.shingles import minwise, mix, set_digests, shingle_sets
 
-WIDTH, TREES, LEVELS, SMALL = 64, 12, 4, 512
+WIDTH, TREES, FIRST, LEVELS = 64, 12, 2, 4
+#: Most classes of a small node, and most shingles of all its classes.
+SMALL, MASS = 1024, 8_000_000
 #: Tokens that a pair must share to be compared in full.
 AGREE = 37
 #: Ids that may be broadcast to pick texts; with more, a shuffle join does it.
@@ -48,6 +55,7 @@ BROADCAST_IDS = 1_000_000
 
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("tokens", T.BinaryType())])
 NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("cid", T.LongType())])
+PLACE = T.StructType([*NODE.fields, T.StructField("n_shingles", T.LongType()), T.StructField("part", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 SETS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
@@ -93,43 +101,47 @@ def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(h[rows] ^ mix(tokens[rows, token].astype(np.uint64) << np.uint64(8) | token.astype(np.uint64))), rows
 
 
-def _branch(batches):
-    """Children of the rows (node or null for a root, cid, tokens)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cids = np.asarray(batch.column(1))
-        tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
-        if batch.column(0).null_count:
-            roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-            parts = [children(np.full(len(cids), r), tokens) for r in roots]
-            nodes, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        else:
-            nodes, rows = children(np.asarray(batch.column(0)).view(np.uint64), tokens)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(cids[rows])], names=NODE.names)
+def _branch(trees: range):
+    """Children, as PLACE rows, of the rows (node or null for all roots, cid, n_shingles, part, tokens)."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
+            if batch.column(0).null_count:
+                roots = mix(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
+                parts = [children(np.full(len(tokens), r), tokens) for r in roots]
+                nodes, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            else:
+                nodes, rows = children(np.asarray(batch.column(0)).view(np.uint64), tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *[pa.array(np.asarray(batch.column(c))[rows]) for c in (1, 2, 3)]], names=PLACE.names)
+
+    return run
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """(node, cid): the small nodes of all trees, with two classes at least."""
+def leaves(classes: DataFrame, trees: range) -> DataFrame:
+    """PLACE rows of the small nodes of some trees; a node has two parts (components so far) at least."""
     tokens = classes.select("cid", "tokens")
-    rows = tokens.select(F.lit(None).cast("long").alias("node"), "cid", "tokens").mapInArrow(_branch, NODE)
+    rows = classes.select(F.lit(None).cast("long").alias("node"), "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
     found = []
     for level in range(1, LEVELS + 1):
         rows = materialize(rows.distinct() if level > 1 else rows, f"near-level{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("part").alias("low"), F.max("part").alias("high"))
+        blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("mass") / MASS)).cast("int").alias("blocks")
+        sizes = sizes.filter("low <> high").select("node", blocks)
         sized = materialize(rows.join(sizes, "node"), f"near-sized{level}")
-        found.append(sized.filter(F.col("size") <= SMALL).select("node", "cid"))
-        large = sized.filter(F.col("size") > SMALL)
+        found.append(sized.filter("blocks = 1").select(*PLACE.names))
+        large = sized.filter("blocks > 1")
         if not large.limit(1).count():
             break
         if level < LEVELS:
-            rows = large.join(tokens, "cid").select("node", "cid", "tokens").mapInArrow(_branch, NODE)
+            rows = large.join(tokens, "cid").select("node", "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
         else:
-            # Still large: each two blocks of about SMALL / 2 classes are compared as a node.
-            blocks = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
-            dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+            # Still large: each two blocks of about half a small node are compared as a node.
+            dealt = large.withColumn("blocks", 2 * F.col("blocks")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            found.append(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid"))
+            found.append(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid", "n_shingles", "part"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -153,8 +165,8 @@ def _nodes(batches, columns: int) -> Iterator[list]:
 
 def _likely(batches):
     """(node, cid) of the classes that have, in this node first, a pair which may be similar."""
-    for node, cid, size, tokens, shared in _nodes(batches, 5):
-        nodes, cids, sizes = np.asarray(node), np.asarray(cid), np.asarray(size)
+    for node, cid, size, part, tokens, shared in _nodes(batches, 6):
+        nodes, cids, sizes, parts = np.asarray(node), np.asarray(cid), np.asarray(size), np.asarray(part)
         bits = np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
         by_size: dict[int, list[int]] = {}
         for a, b in runs(nodes):
@@ -173,15 +185,14 @@ def _likely(batches):
             for x in range(0, len(starts), step := max(1, 4_000_000 // (m * m * WIDTH))):
                 at = np.array(starts[x : x + step])
                 rows = at[:, None] + np.arange(m)
-                group, n = bits[rows], sizes[rows]
+                group, n, own = bits[rows], sizes[rows], parts[rows]
                 for i in range(m - 1):  # class i against all after it, in all nodes of this size
                     same = (group[:, i + 1 :] == group[:, i : i + 1]).sum(axis=2, dtype=np.int16)
                     low, high = np.minimum(n[:, i + 1 :], n[:, i : i + 1]), np.maximum(n[:, i + 1 :], n[:, i : i + 1])
-                    for g, j in zip(*np.nonzero((same >= AGREE) & (100 * low >= 80 * high)), strict=True):
-                        p, q = int(rows[g, i]), int(rows[g, i + 1 + j])
-                        if marked[p] and marked[q]:
-                            continue
-                        if min(in_nodes(p) & in_nodes(q)) == nodes[p]:
+                    likely = (same >= AGREE) & (100 * low >= 80 * high) & (own[:, i + 1 :] != own[:, i : i + 1])
+                    g, j = np.nonzero(likely & ~(marked[rows[:, i : i + 1]] & marked[rows[:, i + 1 :]]))
+                    for p, q in zip(rows[g, i].tolist(), rows[g, i + 1 + j].tolist(), strict=True):
+                        if not (marked[p] and marked[q]) and min(in_nodes(p) & in_nodes(q)) == nodes[p]:
                             marked[p] = marked[q] = True
         yield pa.RecordBatch.from_arrays([pa.array(nodes[marked]), pa.array(cids[marked])], names=NODE.names)
 
@@ -257,16 +268,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """LINKS between classes with similarity 0.8 or more: a spanning forest of them in each node."""
-    found = leaves(classes)
-    joined = found.groupBy("cid").agg(F.collect_set("node").alias("shared"))  # about TREES nodes for a class
+def link_classes(docs: DataFrame, classes: DataFrame, k: int, trees: range) -> DataFrame:
+    """LINKS between classes of different parts with similarity 0.8 or more: a spanning forest of them in each node."""
+    found = leaves(classes, trees)
+    joined = found.groupBy("cid").agg(F.first("part").alias("part"), F.collect_set("node").alias("shared"))  # a few nodes a tree
     short = joined.join(classes.select("cid", "n_shingles", _low_bytes(F.col("tokens")).alias("tokens")), "cid")
-    rows = short.select(F.explode("shared").alias("node"), "cid", "n_shingles", "tokens", "shared")
+    rows = short.select(F.explode("shared").alias("node"), "cid", "n_shingles", "part", "tokens", "shared")
     likely = materialize(_by_node(rows).mapInArrow(_likely, NODE), "near-likely")
     wanted = materialize(likely.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "near-wanted")
     sets = materialize(class_sets(docs, wanted, k), "near-sets").dropDuplicates(["cid"])
-    return _by_node(likely.join(sets, "cid").select("node", "cid", "shingles")).mapInArrow(_verify, LINKS)
+    return materialize(_by_node(likely.join(sets, "cid").select("node", "cid", "shingles")).mapInArrow(_verify, LINKS), "near-links")
 
 
 def _low_bytes(tokens):
@@ -281,8 +292,11 @@ def similar(docs: DataFrame, k: int = 5) -> DataFrame:
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
     )
     classes = materialize(classes, "near-classes")
-    links = materialize(link_classes(docs, classes, k), "near-links")
-    roots = components(links)
+    first = link_classes(docs, classes.withColumn("part", F.col("cid")), k, range(FIRST))
+    parts = components(first).select(F.col("node").alias("cid"), "root")
+    parted = materialize(classes.join(parts, "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root"), "near-parted")
+    second = link_classes(docs, parted, k, range(FIRST, TREES))
+    roots = components(first.unionByName(second))
     named = classes.select("cid", "rep", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.filter("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cid"))
     named = materialize(named.select("cid", "rep", "root"), "near-named")
