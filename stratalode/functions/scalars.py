@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import struct
 from collections.abc import Iterable
@@ -15,9 +14,6 @@ from pyspark.sql import types as T
 
 from stratalode import errors as E
 
-#: Dimensions up to which a distance is unrolled into generated code.
-UNROLLED = 256
-
 
 def object_id(data: bytes) -> bytes:
     """SHA-256 of all bytes; chunk ids are made alike."""
@@ -90,27 +86,3 @@ def distance(metric: str, query: Column, vector: Column) -> Column:
         return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
     norms = F.sqrt(_dot(query, query)) * F.sqrt(_dot(vector, vector))
     return F.when(norms == 0, F.lit(float("nan"))).otherwise(1 - _dot(query, vector) / norms)
-
-
-def distance_to(metric: str, query: list[float], vector: Column) -> Column:
-    """Distance to a known query: unrolled, so that it runs in generated code; the same sums in the same order."""
-    q = list(struct.unpack(f"<{len(query)}f", encode_f32_le(query)))  # as stored: rounded to 32 bits
-    if len(q) > UNROLLED:
-        return distance(metric, F.array(*[F.lit(x).cast("float") for x in q]), vector)
-
-    def summed(terms: list[Column]) -> Column:
-        total = F.lit(0.0)
-        for t in terms:
-            total = total + t
-        return total
-
-    v = [F.get(vector, F.lit(i)).cast("double") for i in range(len(q))]
-    if metric == "dot":
-        return -summed([F.lit(x) * y for x, y in zip(q, v, strict=True)])
-    if metric == "l2":
-        return F.sqrt(summed([(F.lit(x) - y) * (F.lit(x) - y) for x, y in zip(q, v, strict=True)]))
-    square = 0.0
-    for x in q:
-        square += x * x
-    norm = F.sqrt(summed([y * y for y in v])) * F.lit(math.sqrt(square))
-    return F.when(norm == 0, F.lit(float("nan"))).otherwise(1 - summed([F.lit(x) * y for x, y in zip(q, v, strict=True)]) / norm)

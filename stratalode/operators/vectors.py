@@ -1,27 +1,23 @@
 """Exact vector search over (vector_id, values) rows.
 
-One search is one scan: distances are computed where the rows are read, each
-task keeps its k best (``TakeOrderedAndProject``), and only these are merged.
-Ties fall by the bytes of the id.
+One search is one scan: distances are computed where the rows are read, in
+Arrow batches; a batch hands on its k best only, and these are merged by
+``TakeOrderedAndProject``.  Ties fall by the bytes of the id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode import errors as E
 from stratalode import validate
-from stratalode.functions import scalars
+from stratalode.functions import kernels
 
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 100_000
-
-
-def checked(d: Column, values: Column, dims: int) -> Column:
-    """The distance, or an error for a damaged row: another length, a value that is not finite, no norm."""
-    sound = (F.size(values) == dims) & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
-    return F.when(sound, d).otherwise(F.raise_error(F.lit("VectorCorrupt: a stored vector is damaged")).cast("double"))
+FOUND = "rank long, vector_id string, distance double"
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,10 +25,27 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def distances(vectors: DataFrame, query: list[float], metric: str, strict: bool = True) -> DataFrame:
-    """All rows with their distance to the query."""
-    d = scalars.distance_to(metric, query, F.col("values"))
-    return vectors.select("vector_id", (checked(d, F.col("values"), len(query)) if strict else d).alias("distance"))
+def nearest_rows(vectors: DataFrame, queries: list[list[float]], metric: str, limit: int | None, max_distance: float | None = None) -> DataFrame:
+    """(query, vector_id, distance): each batch's nearest rows to each query, by its place in ``queries``.
+
+    A damaged row (another length, a value that is not finite, no norm under
+    cosine) fails the job, whatever its distance.
+    """
+    queries = [kernels.stored(q) for q in queries]
+    dims = len(queries[0])
+
+    def run(batches):
+        for batch in batches:
+            ids, m = batch.column(0), kernels.matrix(batch.column(1), dims)
+            for n, q in enumerate(queries):
+                d = kernels.distances(metric, q, m)
+                if max_distance is not None:
+                    near = (at := (d <= max_distance).nonzero()[0])[kernels.nearest(d[at], limit)]
+                else:
+                    near = kernels.nearest(d, limit)
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(near), pa.int32()), ids.take(pa.array(near)), pa.array(d[near])], names=["query", "vector_id", "distance"])
+
+    return vectors.select("vector_id", "values").mapInArrow(run, "query int, vector_id string, distance double")
 
 
 def search(
@@ -59,12 +72,14 @@ def search(
         vectors = vectors.join(bounded(ids), "vector_id", "left_semi")
     if exclude is not None:
         vectors = vectors.filter(F.col("vector_id") != exclude)
-    found = distances(vectors, query, metric)
     if max_distance is not None:
-        found = found.filter(F.col("distance") <= validate.max_distance(max_distance))
+        max_distance = validate.max_distance(max_distance)
+    if limit is not None and not validate.limit(limit):
+        return vectors.sparkSession.createDataFrame([], FOUND)
+    found = nearest_rows(vectors, [query], metric, limit, max_distance).select("vector_id", "distance")
     if limit is not None:
         # The k best of all; numbering them sees k rows only.
-        found = found.orderBy("distance", "vector_id").limit(validate.limit(limit))
+        found = found.orderBy("distance", "vector_id").limit(limit)
         return found.select(F.row_number().over(Window.orderBy("distance", "vector_id")).cast("long").alias("rank"), "vector_id", "distance")
     return numbered(found)
 
@@ -90,22 +105,32 @@ def search_by_id(vectors: DataFrame, source: str, metric: str, **kw) -> DataFram
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, metric: str, limit: int, block: int = 256) -> DataFrame:
-    """The nearest ``limit`` vectors of each query row (query_id, values).
+    """query_id, rank, vector_id, distance: the nearest ``limit`` vectors of each query row (query_id, values).
 
-    The query set is taken in blocks of ``block``; each block meets every vector in
-    one scan, and each task keeps only its ``limit`` best a query.
+    The stated query set is taken in blocks of ``block``; each block meets every
+    vector in one scan, and each batch hands on its ``limit`` best a query.
     """
-    ids = [(r.query_id, list(r.values)) for r in queries.select("query_id", F.col("values")).toLocalIterator()]
-    out = None
-    for i in range(0, len(ids), block):
-        parts = F.array(*[F.struct(F.lit(q).alias("query_id"), scalars.distance_to(metric, v, F.col("values")).alias("distance")) for q, v in ids[i : i + block]])
-        rows = vectors.select("vector_id", F.inline(parts))
-        best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vector_id"))
-        rows = rows.withColumn("rank", best.cast("long")).filter(F.col("rank") <= limit).select("query_id", "rank", "vector_id", "distance")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    out, held = None, []
+
+    def add() -> None:
+        nonlocal out
+        rows = nearest_rows(vectors, [v for _, v in held], metric, limit)
+        names = F.array(*[F.lit(q) for q, _ in held])
+        rows = rows.select(F.get(names, F.col("query")).cast(kind).alias("query_id"), "vector_id", "distance")
         out = rows if out is None else out.unionByName(rows)
+        held.clear()
+
+    for r in queries.select("query_id", "values").toLocalIterator():
+        held.append((r[0], list(r[1])))
+        if len(held) == block:
+            add()
+    if held:
+        add()
     if out is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank long, vector_id string, distance double")
-    return out
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, {FOUND}")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vector_id"))
+    return out.withColumn("rank", best.cast("long")).filter(F.col("rank") <= limit).select("query_id", "rank", "vector_id", "distance")
 
 
 def last_wins(batch: DataFrame, key: list[str], position: str) -> DataFrame:

@@ -78,7 +78,7 @@ def _unbounded(spark, sf_dir):
 @_add("vec_distance_scalar", f"SELECT v.vec_id, {_DIST['cosine']} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
 def _scalar(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", scalars.distance_to("cosine", _query(spark, sf_dir), F.col("embedding")).alias("distance"))
+    return e.select("vec_id", scalars.distance("cosine", F.array(*[F.lit(x).cast("float") for x in _query(spark, sf_dir)]), F.col("embedding")).alias("distance"))
 
 
 @_add("vec_distance_by_id", f"SELECT v.vec_id, q.vec_id AS source_id, {_DIST['l2']} AS distance FROM embeddings v JOIN embeddings q ON q.vec_id = v.label")
