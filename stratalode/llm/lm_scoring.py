@@ -78,7 +78,7 @@ def _count_words(batches):
             every.update(found)
             if mark:
                 target.update(found)
-            if len(every) > 300_000:
+            if len(every) > 150_000:
                 yield out()
     yield out()
 
@@ -151,7 +151,7 @@ def _pair_counts(shared):
                     held.append(keys)
                     marks.append(np.full(len(keys), int(mark), dtype=np.int64))
                     size += len(keys)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield out()
                     size = 0
         if held:
@@ -179,9 +179,10 @@ def train(rows: DataFrame) -> Model:
             break
         kept, least = kept + n, at
     if least is not None:
-        table = pairs.filter(level >= least).toPandas().sort_values("pair")
-        model.pairs = table["pair"].to_numpy(np.int64)
-        model.pair_counts = np.array([table["target"].to_numpy(float), table["n"].to_numpy(float)])
+        table = pairs.filter(level >= least).select("pair", "target", "n").toArrow()  # at most BIGRAMS rows of three numbers
+        order = np.argsort(table.column("pair").to_numpy())
+        model.pairs = table.column("pair").to_numpy()[order]
+        model.pair_counts = np.array([table.column(c).to_numpy()[order] for c in ("target", "n")], dtype=np.float32)
     texts = rows.filter(F.col("text").rlike(r"\S")).agg(F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0)), F.count("*")).first()
     model.texts = np.array([texts[0], texts[1]], dtype=float)
     return model
