@@ -35,7 +35,7 @@ SHIFT, MASK = 20, 2**20 - 1
 #: Pre-tokens of more bytes get a tree of their own.
 TOGETHER = 64
 #: Distinct chunks that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: The published pre-token pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode White_Space, as the pattern's \s has it.
@@ -168,7 +168,7 @@ class Bpe:
         size = 2
         while size <= TOGETHER:
             at = np.flatnonzero((lens <= size) & (lens > (size // 2 if size > 2 else 0)))
-            for part in (at[i : i + 20_000] for i in range(0, len(at), 20_000)):
+            for part in (at[i : i + 5_000] for i in range(0, len(at), 5_000)):
                 data = np.frombuffer(b"".join(pieces[i] for i in part.tolist()), dtype=np.uint8)
                 rows = np.full((len(part), size), -1, dtype=np.int64)
                 rows[np.arange(size) < lens[part][:, None]] = self.byte_ids[data]
@@ -278,7 +278,7 @@ class Encoder:
             for some in self.chunks(text):
                 held.extend(some)
                 sizes.append((k, len(some)))
-                if len(held) >= 200_000:
+                if len(held) >= 100_000:
                     flush()
         if held:
             flush()

@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 
 from stratalode.llm.runtime import WORD, map_text
 
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 14_000_000
 BUCKETS, DIM, RATE = 1 << 18, 16, 0.6
 #: Steps of the descent: so many passes over a small sample, and as many at least over any.
 STEPS, PASSES = 18_000, 5
 CUT = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINDALL = re.compile(WORD).findall
 END = 0  # bucket of the end mark
@@ -91,7 +91,7 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(flat, weights=weights, minlength=2) if len(flat) else np.zeros(2)
     counts[END], counts[AGAIN] = 1, AGAIN_WEIGHT * repeats(ids)
     at = np.flatnonzero(counts)
-    return at, counts[at]
+    return at.astype(np.int32), counts[at]
 
 
 #: A repeated 3-gram counts as about as much as the features of its last word.

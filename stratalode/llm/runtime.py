@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text that one Python step holds as lists at a time.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 300_000
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: large batches of texts only cost memory.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 #: The white space of every word rule here: space, and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", str(BATCH_BYTES))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stratalode/{name}-{uuid.uuid4().hex}"
 
@@ -45,6 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
