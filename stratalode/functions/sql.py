@@ -5,6 +5,9 @@
 * ``vector_search_<metric>(collection, query, source, k, max_distance)``: a table
   (rank, vector_id, distance), also in ``LATERAL`` joins;
 * ``vector_distance_<metric>(query, vector)``: a scalar of two float arrays;
+* ``stored_distance_<metric>(collection, id, query)`` and
+  ``stored_distance_by_id_<metric>(collection, id, source)``: scalars of stored
+  vectors; an id that is not there is an error;
 * ``graph_neighbors(graph, node, direction, edge_type, k)``: a table;
 * ``content_id(data)``, ``hex_id(data)``.
 
@@ -51,6 +54,12 @@ def register(spark: SparkSession, vectors: DataFrame | None = None, nodes: DataF
                   WHERE v.collection_name = {name}.coll AND ({name}.src IS NULL OR v.vector_id <> {name}.src)),
                 r AS (SELECT row_number() OVER (ORDER BY distance, vector_id) AS rank, vector_id, distance FROM d WHERE {name}.maxd IS NULL OR distance <= {name}.maxd)
                 SELECT cast(rank AS BIGINT), vector_id, distance FROM r WHERE {name}.k IS NULL OR rank <= {name}.k""")
+            missing = "raise_error('VectorNotFound')"
+            find = "SELECT first(values) AS v, count(*) AS n FROM stratalode_vectors WHERE collection_name = {f}.coll AND vector_id = {f}.{id}"
+            f = f"stored_distance_{metric}"
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}(coll STRING, id STRING, q ARRAY<FLOAT>) RETURNS DOUBLE RETURN SELECT CASE WHEN x.n = 0 THEN {missing} ELSE {distance_sql(metric, f'{f}.q', 'x.v')} END FROM ({find.format(f=f, id='id')}) x")
+            f = f"stored_distance_by_id_{metric}"
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}(coll STRING, id STRING, src STRING) RETURNS DOUBLE RETURN SELECT CASE WHEN x.n = 0 OR y.n = 0 THEN {missing} ELSE {distance_sql(metric, 'y.v', 'x.v')} END FROM ({find.format(f=f, id='id')}) x, ({find.format(f=f, id='src')}) y")
     if nodes is not None and edges is not None:
         nodes.createOrReplaceTempView("stratalode_nodes")
         edges.createOrReplaceTempView("stratalode_edges")

@@ -233,3 +233,33 @@ def _fts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))).alias("word"))
     hits = d.filter(F.col("word").isin("idiot", "the")).groupBy("doc_id").agg(F.count("*").alias("n"))
     return hits.filter("n = 2").select("doc_id")
+
+
+@_add("rec_regex_dates", "SELECT event_id, year(ts) AS y, month(ts) AS m, date_trunc('hour', ts)::TIMESTAMP AS h, round(abs(value), 2) AS v FROM events WHERE regexp_matches(event_type, '^(error|click)$') AND value <> 0")
+def _dates(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").rlike("^(error|click)$") & (F.col("value") != 0))
+    return e.select("event_id", F.year("ts").cast("long").alias("y"), F.month("ts").cast("long").alias("m"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h"), F.round(F.abs("value"), 2).alias("v"))
+
+
+@_add("rec_filtered_counts", "SELECT event_type, count(*) FILTER (value > 5) AS high, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def _filtered(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 5).alias("high"), F.countDistinct("user_id").alias("users"))
+
+
+@_add("rec_rollup", "SELECT n_regionkey, n_nationkey, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+def _rollup(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).rollup("n_regionkey", "n_nationkey").agg(F.count("*").alias("customers"))
+
+
+@_add("rec_theta_join", "SELECT a.s_suppkey, count(*) AS richer FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_acctbal > a.s_acctbal GROUP BY a.s_suppkey")
+def _theta(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    a, b = s.alias("a"), s.alias("b")
+    return a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("b.s_acctbal") > F.col("a.s_acctbal"))).groupBy(F.col("a.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("richer"))
+
+
+@_add("rec_generated_column", "SELECT doc_id, length(text) AS text_len, length(text) * 2 + 1 AS odd FROM documents")
+def _generated(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("text_len", F.length("text").cast("long"))
+    return d.select("doc_id", "text_len", (F.col("text_len") * 2 + 1).alias("odd"))

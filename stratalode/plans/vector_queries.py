@@ -95,6 +95,14 @@ def _sql_search(spark, sf_dir):
     return spark.sql("SELECT * FROM vector_search_l2('emb', src => '7', k => 5)")
 
 
+@_add("vec_lateral_search", f"""WITH d AS (SELECT q.vec_id AS source_id, v.vec_id::VARCHAR AS vector_id, {_DIST["l2"]} AS distance FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id IN (3, 5, 9)) q WHERE v.vec_id <> q.vec_id),
+r AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY distance, vector_id) AS rank, vector_id, distance FROM d) SELECT * FROM r WHERE rank <= 3""")
+def _lateral(spark, sf_dir):
+    """A table function called for each row of a query."""
+    register(spark, tables.vectors(spark, sf_dir))
+    return spark.sql("SELECT o.src AS source_id, s.rank, s.vector_id, s.distance FROM (SELECT explode(array(3L, 5L, 9L)) AS src) o, LATERAL vector_search_l2('emb', src => cast(o.src AS string), k => 3) s")
+
+
 @_add("vec_search_metadata", _sql("cosine", "", 20, 0, "rank, vector_id, distance, label"))
 def _metadata(spark, sf_dir):
     """Search gives ids; metadata comes from a join with the few results."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from stratalode import errors as E
 from stratalode import schemas, validate
 from stratalode.functions import fastcdc, scalars
-from stratalode.operators import diagnose, graph, objects, vectors
+from stratalode.operators import diagnose, graph, inspect, objects, vectors
 from stratalode.sources.files import Files
 from stratalode.streaming.hub import Hub, Subscription
 
@@ -725,6 +725,35 @@ class Store:
         counts = {r.area: r["count"] for r in found.groupBy("area").count().collect()}
         return {"ok": not counts, "issue_counts": counts, "issues": [r.asDict() for r in found.orderBy("area", "kind", *diagnose.COLUMNS).limit(min(limit, 100)).collect()], "truncated": sum(counts.values()) > limit}
 
+    def doctor(self, limit: int = 10) -> dict:
+        """Summary, issues and what to do about them."""
+        report = self.check(deep=True, limit=limit)
+        advice = {"object": "salvage into a new store; damaged objects are left out", "chunk": "put the missing chunks again, or salvage", "vector": "put the damaged vectors again, or salvage", "graph": "put the missing targets or nodes, or salvage"}
+        return {"summary": self.summary(), **report, "suggestions": [advice[a] for a in sorted(report["issue_counts"]) if a in advice]}
+
+    def list_objects(self, limit: int = inspect.DEFAULT) -> dict:
+        return inspect.list_objects(self.table("objects"), limit)
+
+    def inspect_object(self, object_id: bytes, limit: int = inspect.DEFAULT) -> dict:
+        return inspect.object_detail(self.table("objects"), self.table("object_chunks"), self.table("chunks"), object_id, limit)
+
+    def list_chunks(self, limit: int = inspect.DEFAULT) -> dict:
+        return inspect.list_chunks(self.table("chunks"), self.table("object_chunks"), limit)
+
+    def inspect_chunk(self, chunk_hash: bytes, limit: int = inspect.DEFAULT) -> dict:
+        return inspect.chunk_detail(self.table("chunks"), self.table("object_chunks"), chunk_hash, limit)
+
+    def list_vectors(self, collection: str, limit: int = inspect.DEFAULT) -> dict:
+        self._collection(collection)
+        return inspect.list_vectors(self.table("vectors"), collection, limit)
+
+    def list_graph_nodes(self, graph_name: str = DEFAULT_GRAPH, limit: int = inspect.DEFAULT) -> dict:
+        self._graph(graph_name)
+        return inspect.list_nodes(self.table("graph_nodes"), graph_name, limit)
+
+    def table_columns(self, name: str) -> list[dict]:
+        return inspect.table_columns(self.table(name))
+
     def salvage_plan(self) -> dict:
         return diagnose.salvage_plan(self.summary(), self.check(deep=True)["issue_counts"])
 
