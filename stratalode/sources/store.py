@@ -5,12 +5,17 @@ writes manifest n + 1 and fails with ``Busy`` if it is there already, so writers
 of one store are serialised without locks, and readers keep their snapshot.  A
 transaction is a stack of table maps in the driver; savepoints are its frames.
 
+Parts of the vector and graph tables that hold the rows of one collection or
+graph say so in their name (a digest of it), so a search reads only the parts of
+its collection, and an update rewrites only these.
+
 Private tables may be routed to a bound store of their own (objects, vectors).
 """
 
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import json
 import time
 import uuid
@@ -30,6 +35,8 @@ SUFFIX = ".strata"
 MAGIC, VERSION = "stratalode-store", 1
 ROLES = {"object": schemas.OBJECT_TABLES, "vector": schemas.VECTOR_TABLES}
 DEFAULT_GRAPH = "default"
+#: The column that names the owner of a row, where parts can belong to one owner.
+OWNER = {"vectors": "collection_name", "graph_nodes": "graph_name", "graph_edges": "graph_name"}
 
 
 class Store:
@@ -103,8 +110,12 @@ class Store:
 
     # Tables
 
-    def _write(self, df: DataFrame, name: str) -> list[str]:
-        path = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
+    @staticmethod
+    def _mark(owner: str) -> str:
+        return hashlib.sha256(owner.encode()).hexdigest()[:24]
+
+    def _write(self, df: DataFrame, name: str, owner: str | None = None) -> list[str]:
+        path = f"{self.root}/data/{name}-{uuid.uuid4().hex}" + (f"-of-{self._mark(owner)}" if owner is not None else "")
         df.write.parquet(path)
         return [path]
 
@@ -114,13 +125,18 @@ class Store:
                 return self.bound[role]
         return self
 
-    def table(self, name: str) -> DataFrame:
-        """A private or user table of the current snapshot."""
+    def table(self, name: str, owner: str | None = None) -> DataFrame:
+        """A private or user table of the current snapshot; with an owner, only parts that may hold its rows."""
         if self.closed:
             raise E.ClosedHandle(self.root)
         m = self._routed(name).manifest
         if name in schemas.PRIVATE:
-            return self.spark.read.schema(schemas.PRIVATE[name]).parquet(*m["tables"][name])
+            paths = m["tables"][name]
+            if owner is not None:
+                paths = [p for p in paths if "-of-" not in p.rsplit("/", 1)[1] or p.endswith(self._mark(owner))]
+            if not paths:
+                return self.spark.createDataFrame([], schemas.PRIVATE[name])
+            return self.spark.read.schema(schemas.PRIVATE[name]).parquet(*paths)
         if name not in m["user_tables"]:
             raise E.InvalidArgument(f"no table {name!r}")
         return self.spark.read.parquet(*m["user_tables"][name])
@@ -131,19 +147,31 @@ class Store:
     def user_tables(self) -> list[str]:
         return sorted(self.manifest["user_tables"])
 
-    def _change(self, changes: dict[str, tuple[str, DataFrame]]) -> None:
-        """Apply {table: ('append' | 'replace', rows)} as one commit, or to the open transaction."""
+    def _change(self, changes: dict[str, tuple]) -> None:
+        """Apply {table: ('append' | 'replace', rows[, owner])} as one commit, or to the open transaction.
+
+        With an owner, ``rows`` are all of the owner's, and the rows of others stay as they are.
+        """
         if self.closed:
             raise E.ClosedHandle(self.root)
         if self.read_only:
             raise E.ReadOnly(self.root)
         touched: dict[int, Store] = {}
         before = {id(s): json.loads(json.dumps(s.manifest)) for s in (self, *self.bound.values())}
-        for name, (how, rows) in changes.items():
+        for name, (how, rows, *owners) in changes.items():
+            owner = owners[0] if owners else None
             home = self._routed(name)
             kind = "tables" if name in schemas.PRIVATE else "user_tables"
-            paths = home._write(rows, name)
-            home.manifest[kind][name] = home.manifest[kind].get(name, []) + paths if how == "append" else paths
+            paths, old = home._write(rows, name, owner), home.manifest[kind].get(name, [])
+            if how == "append":
+                paths = old + paths
+            elif owner is not None:
+                mixed = [p for p in old if "-of-" not in p.rsplit("/", 1)[1]]
+                paths += [p for p in old if p not in mixed and not p.endswith(self._mark(owner))]
+                if mixed:
+                    others = self.spark.read.schema(schemas.PRIVATE[name]).parquet(*mixed).filter(~F.col(OWNER[name]).eqNullSafe(owner))
+                    paths += home._write(others, name)
+            home.manifest[kind][name] = paths
             touched[id(home)] = home
         for home in touched.values():
             if home is not self:
@@ -472,7 +500,7 @@ class Store:
         return rows[0]
 
     def _vectors(self, name: str) -> DataFrame:
-        return self.table("vectors").filter(F.col("collection_name") == name)
+        return self.table("vectors", name).filter(F.col("collection_name") == name)
 
     def vector_collection_info(self, name: str) -> dict:
         c = self._collection(name)
@@ -496,8 +524,12 @@ class Store:
         new = rows.select(F.lit(collection).alias("collection_name"), "vector_id", F.lit(c.dimensions).alias("dimensions"), F.col("values").cast("array<float>").alias("values"))
         if diagnose.unsound_vectors(self.table("vector_collections"), new).limit(1).count():
             raise E.VectorInvalid(f"rows that do not fit {collection!r}")
-        old = self.table("vectors").join(new.select("collection_name", "vector_id"), ["collection_name", "vector_id"], "left_anti").select(*schemas.VECTORS.names)
-        self._change({"vectors": ("replace", old.unionByName(new.select(*schemas.VECTORS.names)))})
+        old, new = self._vectors(collection), new.select(*schemas.VECTORS.names)
+        if old.join(new.select("vector_id"), "vector_id", "left_semi").limit(1).count():
+            kept = old.join(new.select("vector_id"), "vector_id", "left_anti").select(*schemas.VECTORS.names)
+            self._change({"vectors": ("replace", kept.unionByName(new), collection)})
+        else:
+            self._change({"vectors": ("append", new, collection)})
 
     def get_vector(self, collection: str, vector_id: str) -> list[float]:
         c = self._collection(collection)
@@ -518,12 +550,11 @@ class Store:
     def delete_vector(self, collection: str, vector_id: str) -> None:
         if not self.has_vector(collection, vector_id):
             raise E.VectorNotFound(vector_id)
-        hit = (F.col("collection_name") == collection) & (F.col("vector_id") == vector_id)
-        self._change({"vectors": ("replace", self.table("vectors").filter(~hit))})
+        self._change({"vectors": ("replace", self._vectors(collection).filter(F.col("vector_id") != vector_id), collection)})
 
     def delete_vector_collection(self, name: str) -> None:
         self._collection(name)
-        self._change({"vectors": ("replace", self.table("vectors").filter(F.col("collection_name") != name)), "vector_collections": ("replace", self.table("vector_collections").filter(F.col("name") != name))})
+        self._change({"vectors": ("replace", self.spark.createDataFrame([], schemas.VECTORS), name), "vector_collections": ("replace", self.table("vector_collections").filter(F.col("name") != name))})
 
     def search_vectors(self, collection: str, query: list[float] | None = None, limit: int | None = 10, max_distance: float | None = None, candidates: list[str] | DataFrame | None = None, source_id: str | None = None) -> DataFrame:
         """Nearest vectors to a query or to a stored vector (left out itself); see ``operators.vectors.search``."""
@@ -553,17 +584,20 @@ class Store:
         if not self.has_graph(name):
             raise E.GraphNotFound(name)
 
+    def _rows(self, table: str, graph_name: str) -> DataFrame:
+        return self.table(table, graph_name).filter(F.col("graph_name") == graph_name)
+
     def delete_graph(self, name: str = DEFAULT_GRAPH) -> None:
         self._graph(name)
         self._change({
-            "graph_edges": ("replace", self.table("graph_edges").filter(F.col("graph_name") != name)),
-            "graph_nodes": ("replace", self.table("graph_nodes").filter(F.col("graph_name") != name)),
+            "graph_edges": ("replace", self.spark.createDataFrame([], schemas.GRAPH_EDGES), name),
+            "graph_nodes": ("replace", self.spark.createDataFrame([], schemas.GRAPH_NODES), name),
             "graphs": ("replace", self.table("graphs").filter(F.col("name") != name)),
         })
 
     def graph_info(self, name: str = DEFAULT_GRAPH) -> dict:
         self._graph(name)
-        return graph.info(self.table("graphs").filter(F.col("name") == name), self.table("graph_nodes").filter(F.col("graph_name") == name), self.table("graph_edges").filter(F.col("graph_name") == name)).first().asDict()
+        return graph.info(self.table("graphs").filter(F.col("name") == name), self._rows("graph_nodes", name), self._rows("graph_edges", name)).first().asDict()
 
     def list_graphs(self) -> DataFrame:
         return graph.info(self.table("graphs"), self.table("graph_nodes"), self.table("graph_edges")).orderBy("name")
@@ -574,16 +608,16 @@ class Store:
         validate.kind(kind)
         validate.target(target_type, target_namespace, target_ref)
         self._graph(graph_name)
-        hit = (F.col("graph_name") == graph_name) & (F.col("node_id") == node_id)
-        old = self.table("graph_nodes").filter(hit).collect()
+        hit = F.col("node_id") == node_id
+        old = self._rows("graph_nodes", graph_name).filter(hit).collect()
         row = (graph_name, node_id, kind, target_type, target_namespace, target_ref, old[0].created_order if old else self._next("graph_nodes"))
         new = self.spark.createDataFrame([row], schemas.GRAPH_NODES)
-        self._change({"graph_nodes": ("replace", self.table("graph_nodes").filter(~hit).unionByName(new)) if old else ("append", new)})
+        self._change({"graph_nodes": ("replace", self._rows("graph_nodes", graph_name).filter(~hit).unionByName(new), graph_name) if old else ("append", new, graph_name)})
 
     def get_graph_node(self, node_id: str, graph_name: str = DEFAULT_GRAPH) -> dict:
         validate.graph_name(graph_name)
         validate.node_id(node_id)
-        rows = self.table("graph_nodes").filter((F.col("graph_name") == graph_name) & (F.col("node_id") == node_id)).collect()
+        rows = self._rows("graph_nodes", graph_name).filter(F.col("node_id") == node_id).collect()
         if not rows:
             raise E.GraphNodeNotFound(node_id)
         return rows[0].asDict()
@@ -597,8 +631,8 @@ class Store:
 
     def delete_graph_node(self, node_id: str, graph_name: str = DEFAULT_GRAPH) -> None:
         self.get_graph_node(node_id, graph_name)
-        nodes, edges = graph.without_node(self.table("graph_nodes"), self.table("graph_edges"), graph_name, node_id)
-        self._change({"graph_nodes": ("replace", nodes), "graph_edges": ("replace", edges)})
+        nodes, edges = graph.without_node(self._rows("graph_nodes", graph_name), self._rows("graph_edges", graph_name), graph_name, node_id)
+        self._change({"graph_nodes": ("replace", nodes, graph_name), "graph_edges": ("replace", edges, graph_name)})
 
     def _edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str):
         validate.graph_name(graph_name)
@@ -611,31 +645,31 @@ class Store:
         self._graph(graph_name)
         self.get_graph_node(from_id, graph_name)
         self.get_graph_node(to_id, graph_name)
-        if not self.table("graph_edges").filter(hit).limit(1).count():
-            self._change({"graph_edges": ("append", self.spark.createDataFrame([(graph_name, from_id, edge_type, to_id, self._next("graph_edges"))], schemas.GRAPH_EDGES))})
+        if not self._rows("graph_edges", graph_name).filter(hit).limit(1).count():
+            self._change({"graph_edges": ("append", self.spark.createDataFrame([(graph_name, from_id, edge_type, to_id, self._next("graph_edges"))], schemas.GRAPH_EDGES), graph_name)})
 
     def get_graph_edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str = DEFAULT_GRAPH) -> dict:
-        rows = self.table("graph_edges").filter(self._edge(from_id, edge_type, to_id, graph_name)).collect()
+        rows = self._rows("graph_edges", graph_name).filter(self._edge(from_id, edge_type, to_id, graph_name)).collect()
         if not rows:
             raise E.GraphEdgeNotFound(f"{from_id} {edge_type} {to_id}")
         return rows[0].asDict()
 
     def has_graph_edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str = DEFAULT_GRAPH) -> bool:
-        return bool(self.table("graph_edges").filter(self._edge(from_id, edge_type, to_id, graph_name)).limit(1).count())
+        return bool(self._rows("graph_edges", graph_name).filter(self._edge(from_id, edge_type, to_id, graph_name)).limit(1).count())
 
     def delete_graph_edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str = DEFAULT_GRAPH) -> None:
         self.get_graph_edge(from_id, edge_type, to_id, graph_name)
-        self._change({"graph_edges": ("replace", self.table("graph_edges").filter(~self._edge(from_id, edge_type, to_id, graph_name)))})
+        self._change({"graph_edges": ("replace", self._rows("graph_edges", graph_name).filter(~self._edge(from_id, edge_type, to_id, graph_name)), graph_name)})
 
-    def put_graph_rows(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Many nodes and edges at once, with their orders."""
-        self._change({"graph_nodes": ("append", nodes.select(*schemas.GRAPH_NODES.names)), "graph_edges": ("append", edges.select(*schemas.GRAPH_EDGES.names))})
+    def put_graph_rows(self, nodes: DataFrame, edges: DataFrame, graph_name: str | None = None) -> None:
+        """Many nodes and edges at once, with their orders; say the graph if they are all of one."""
+        self._change({"graph_nodes": ("append", nodes.select(*schemas.GRAPH_NODES.names), graph_name), "graph_edges": ("append", edges.select(*schemas.GRAPH_EDGES.names), graph_name)})
 
     def graph_neighbors(self, node_id: str, graph_name: str = DEFAULT_GRAPH, direction: str = "outgoing", edge_type: str | None = None, limit: int = 10) -> DataFrame:
-        return graph.neighbors(self.table("graph_nodes"), self.table("graph_edges"), graph_name, node_id, direction, edge_type, limit)
+        return graph.neighbors(self._rows("graph_nodes", graph_name), self._rows("graph_edges", graph_name), graph_name, node_id, direction, edge_type, limit)
 
     def graph_walk(self, start: str, graph_name: str = DEFAULT_GRAPH, max_depth: int = 1, edge_type: str | None = None, limit: int = 10) -> DataFrame:
-        return graph.walk(self.table("graph_nodes"), self.table("graph_edges"), graph_name, start, max_depth, edge_type, limit)
+        return graph.walk(self._rows("graph_nodes", graph_name), self._rows("graph_edges", graph_name), graph_name, start, max_depth, edge_type, limit)
 
     # Bound stores
 
@@ -698,7 +732,14 @@ class Store:
         """Rewrite tables of several parts, and drop data and manifests that this snapshot does not use."""
         if self.frames:
             raise E.Misuse("no vacuum in a transaction")
-        self._change({name: ("replace", self.table(name).hint("rebalance")) for name, paths in {**self.manifest["tables"], **self.manifest["user_tables"]}.items() if len(paths) > 1 and self._routed(name) is self})
+        many = [n for n, paths in {**self.manifest["tables"], **self.manifest["user_tables"]}.items() if len(paths) > 1 and self._routed(n) is self]
+        for name in many:
+            if name in OWNER:  # parts of one owner are merged with each other only
+                for (owner,) in self.table(name).select(OWNER[name]).distinct().toLocalIterator():
+                    own = self.table(name, owner).filter(F.col(OWNER[name]) == owner)
+                    self._change({name: ("replace", own.hint("rebalance"), owner)})
+            else:
+                self._change({name: ("replace", self.table(name).hint("rebalance"))})
         used = {p.rsplit("/", 1)[1] for paths in (*self.manifest["tables"].values(), *self.manifest["user_tables"].values()) for p in paths}
         for name in self.files.names(f"{self.root}/data"):
             if name not in used:

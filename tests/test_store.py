@@ -235,3 +235,24 @@ def test_feed(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.payload for r in spark.table("feed_out").collect()] == ["x"]
+
+
+def test_parts_of_one_owner(spark, root):
+    store = Store.create(spark, root)
+    for name in ("a", "b"):
+        store.create_vector_collection(name, 2, "l2")
+        store.put_vectors(name, [("x", [1, 1]), ("y", [2, 2])])
+    of_a = [p for p in store.manifest["tables"]["vectors"] if p.endswith(store._mark("a"))]
+    store.put_vector("b", "x", [5, 5])  # rewrites the parts of b only
+    assert [p for p in store.manifest["tables"]["vectors"] if p.endswith(store._mark("a"))] == of_a
+    assert store.get_vector("b", "x") == [5.0, 5.0] and store.get_vector("a", "x") == [1.0, 1.0]
+    # A part of several owners keeps the rows of the others.
+    store._change({"vectors": ("replace", store.table("vectors"))})
+    store.delete_vector("a", "x")
+    assert store.table("vectors").count() == 3 and store.get_vector("b", "y") == [2.0, 2.0]
+    store.put_vector("a", "z", [0, 0])
+    store.vacuum()
+    again = Store.open(spark, root)
+    assert sorted((r.collection_name, r.vector_id) for r in again.table("vectors").collect()) == [("a", "y"), ("a", "z"), ("b", "x"), ("b", "y")]
+    again.delete_vector_collection("b")
+    assert again.table("vectors").count() == 2
