@@ -95,6 +95,6 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     """``edges`` and those of ``new`` (graph_name, from_node_id, edge_type, to_node_id) that are not there; others change nothing."""
     key = ["graph_name", "from_node_id", "edge_type", "to_node_id"]
     fresh = new.select(*key).distinct().join(edges, key, "left_anti")
-    top = edges.agg(F.coalesce(F.max("created_order"), F.lit(0)).alias("top"))
-    order = F.row_number().over(Window.partitionBy("graph_name").orderBy(*key[1:]))
-    return edges.unionByName(fresh.crossJoin(F.broadcast(top)).select(*key, (F.col("top") + order).cast("long").alias("created_order")))
+    top = edges.groupBy("graph_name").agg(F.max("created_order").alias("top"))  # orders run inside each graph
+    order = F.row_number().over(Window.partitionBy("graph_name").orderBy(*key[1:])) + F.coalesce("top", F.lit(0))
+    return edges.unionByName(fresh.join(top, "graph_name", "left").select(*key, order.cast("long").alias("created_order")))

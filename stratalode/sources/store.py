@@ -568,8 +568,10 @@ class Store:
 
     # Graphs
 
-    def _next(self, name: str) -> int:
-        return (self.table(name).agg(F.max("created_order")).first()[0] or 0) + 1
+    def _next(self, name: str, graph_name: str | None = None) -> int:
+        """The next order: of graphs, or of nodes or edges inside one graph."""
+        rows = self.table(name) if graph_name is None else self._rows(name, graph_name)
+        return (rows.agg(F.max("created_order")).first()[0] or 0) + 1
 
     def create_graph(self, name: str = DEFAULT_GRAPH) -> None:
         if self.has_graph(name):
@@ -610,7 +612,7 @@ class Store:
         self._graph(graph_name)
         hit = F.col("node_id") == node_id
         old = self._rows("graph_nodes", graph_name).filter(hit).collect()
-        row = (graph_name, node_id, kind, target_type, target_namespace, target_ref, old[0].created_order if old else self._next("graph_nodes"))
+        row = (graph_name, node_id, kind, target_type, target_namespace, target_ref, old[0].created_order if old else self._next("graph_nodes", graph_name))
         new = self.spark.createDataFrame([row], schemas.GRAPH_NODES)
         self._change({"graph_nodes": ("replace", self._rows("graph_nodes", graph_name).filter(~hit).unionByName(new), graph_name) if old else ("append", new, graph_name)})
 
@@ -646,7 +648,7 @@ class Store:
         self.get_graph_node(from_id, graph_name)
         self.get_graph_node(to_id, graph_name)
         if not self._rows("graph_edges", graph_name).filter(hit).limit(1).count():
-            self._change({"graph_edges": ("append", self.spark.createDataFrame([(graph_name, from_id, edge_type, to_id, self._next("graph_edges"))], schemas.GRAPH_EDGES), graph_name)})
+            self._change({"graph_edges": ("append", self.spark.createDataFrame([(graph_name, from_id, edge_type, to_id, self._next("graph_edges", graph_name))], schemas.GRAPH_EDGES), graph_name)})
 
     def get_graph_edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str = DEFAULT_GRAPH) -> dict:
         rows = self._rows("graph_edges", graph_name).filter(self._edge(from_id, edge_type, to_id, graph_name)).collect()

@@ -114,3 +114,11 @@ def test_fan_out(spark):
     assert [r.node_id for r in G.neighbors(nodes, edges, "g", "center", limit=25).orderBy("rank").collect()] == [f"leaf:{i}" for i in range(25)]
     walk = G.walk(nodes, edges, "g", "center", limit=30).orderBy("rank").collect()
     assert [r.node_id for r in walk] == ["center", *[f"leaf:{i}" for i in range(29)]]
+
+
+def test_bulk_edges_are_numbered_inside_their_graph(spark):
+    schema = "graph_name string, from_node_id string, edge_type string, to_node_id string, created_order long"
+    old = spark.createDataFrame([("g", "a", "t", "b", 7), ("h", "a", "t", "b", 2)], schema)
+    new = spark.createDataFrame([("g", "a", "t", "b"), ("g", "b", "t", "a"), ("g", "b", "t", "a"), ("h", "c", "t", "d"), ("i", "c", "t", "d")], "graph_name string, from_node_id string, edge_type string, to_node_id string")
+    got = {(r.graph_name, r.from_node_id): r.created_order for r in G.add_edges(None, old, new).collect()}
+    assert got == {("g", "a"): 7, ("g", "b"): 8, ("h", "a"): 2, ("h", "c"): 3, ("i", "c"): 1}
