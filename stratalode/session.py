@@ -29,13 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this process where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="stratalode-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/stratalode/{name}-{uuid.uuid4().hex}"
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="stratalode-"))
+        at = _own[0]
+    return at.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/stratalode/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
