@@ -94,6 +94,7 @@ def map_text(
     to one list or Arrow array per field.  All columns of ``docs`` (or those in
     ``keep``) stay; one that has the name of a new field is replaced by it.
     """
+    small_batches(docs.sparkSession)
     new = {f.name for f in fields}
     kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     source = docs if text_col not in new else docs.withColumn("__text", docs[text_col])
@@ -124,6 +125,27 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return simple[kind.simpleString()]
 
 
+def hot_keys(sizes: DataFrame, key: str, total: int, share: int = 1_000, least: int = 1_000) -> list:
+    """Keys of ``sizes`` (key, size) that hold over ``1 / share`` of ``total`` rows, and over ``least``; fewer than ``share``."""
+    return [r[0] for r in sizes.filter((F.col("size") > max(least, total // share)) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``left`` joined to the unique keys of ``right``; rows of ``hot`` keys stay where they are.
+
+    A hot key's one row of ``right`` is broadcast (there are fewer than a
+    thousand, see ``hot_keys``), so no task gets all rows of such a key; the
+    other keys are shuffled.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    kind = right.schema[key].dataType
+    values = [F.lit(bytearray(k) if isinstance(k, (bytes, bytearray)) else k).cast(kind) for k in hot]
+    is_hot = F.coalesce(F.col(key).isin(*values), F.lit(False))
+    kept = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
+    return kept.unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The slices flat[starts[k] : starts[k] + lens[k]], one after another."""
     total = int(lens.sum())

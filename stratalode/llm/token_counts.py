@@ -4,7 +4,8 @@ The cache is a Parquet table ``(content_digest, model_digest, n_tokens)`` in a
 shared folder.  A call joins the digests of its normalised contents to the
 cache, encodes only the distinct contents that miss, appends their counts, and
 joins all rows to the cache again.  Texts move once, and only the first of the
-equal texts of a task moves; the second pass moves digests and ids only.
+equal texts of a task moves; the second pass moves digests and ids only, and
+the rows of a digest that very many copies share do not move at all.
 
 Normalisation is what the tokenizer itself ignores: for the SentencePiece model
 used here (identity normaliser, white space kept) that is nothing but null
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalode.llm.runtime import new_dir, steps, strings
+from stratalode.llm.runtime import hot_keys, join_hot, new_dir, small_batches, steps, strings
 
 CACHE = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("model_digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -83,6 +84,7 @@ def count_tokens(
     ``cache_dir`` is the cache to use and extend (a new one if None).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cache_dir = cache_dir or new_dir(spark, "token-cache")
     model_digest, counter = load_counter(model_path)
     normal = normalise or (lambda c: c)
@@ -108,5 +110,6 @@ def count_tokens(
     new = {"n_bytes", "n_tokens", "over_limit"}
     kept = [c for c in docs.columns if c not in new]
     keyed = docs.select(*[docs[f"`{c}`"] for c in kept], F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("content_digest"))
-    joined = keyed.join(counts, "content_digest", "left")
+    sizes = keyed.groupBy("content_digest").agg(F.count("*").alias("size"))
+    joined = join_hot(keyed, counts, "content_digest", hot_keys(sizes, "content_digest", docs.count()), "left")
     return joined.select(*[f"`{c}`" for c in kept], "n_bytes", F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit"))
