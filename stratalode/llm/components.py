@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm.runtime import materialize
+from stratalode.llm.runtime import hot_keys, join_hot, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         # Large star: a node tells each larger neighbour the least of its neighbourhood.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("size")), "links-least")
+        hubs = hot_keys(least, "a", 2 * seen[0])
+        large = join_hot(both.filter("b > a"), least.select("a", "m"), "a", hubs).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # A local minimum keeps its links; every other link now points to a lower end.
         large = large.filter("a <> b").distinct()
         # Small star: a node links its smaller neighbours and itself to the least of them.

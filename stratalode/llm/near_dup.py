@@ -24,7 +24,7 @@ node of one component is left out, so a large group of near copies, which one
 or two trees join, is not compared twelve times.
 
 Skew: hot minwise tokens make large nodes, which branch on; a hot class is one
-row.  What a task holds is a node: at most ``SMALL`` sets with ``MASS`` shingles.
+row; the joins keep the rows of hot nodes, hubs and classes where they are.  What a task holds is a node: at most ``SMALL`` sets with ``MASS`` shingles.
 
 Defined results: null and empty texts have the empty set and link with
 nothing; a row without id keeps its row, with a null component; repeated ids
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalode.llm.components import components
-from stratalode.llm.runtime import id_text, materialize, runs, steps, strings
+from stratalode.llm.runtime import hot_keys, id_text, join_hot, materialize, runs, small_batches, steps, strings
 from stratalode.llm.shingles import minwise, mix, set_digests, shingle_sets
 
 WIDTH, TREES, FIRST, LEVELS = 64, 12, 2, 4
@@ -129,8 +129,9 @@ def leaves(classes: DataFrame, trees: range) -> DataFrame:
         rows = materialize(rows.distinct() if level > 1 else rows, f"near-level{level}")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("part").alias("low"), F.max("part").alias("high"))
         blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("mass") / MASS)).cast("int").alias("blocks")
-        sizes = sizes.filter("low <> high").select("node", blocks)
-        sized = materialize(rows.join(sizes, "node"), f"near-sized{level}")
+        sizes = materialize(sizes.filter("low <> high").select("node", "size", blocks), f"near-sizes{level}")
+        hot = hot_keys(sizes, "node", rows.count())
+        sized = materialize(join_hot(rows, sizes.drop("size"), "node", hot), f"near-sized{level}")
         found.append(sized.filter("blocks = 1").select(*PLACE.names))
         large = sized.filter("blocks > 1")
         if not large.limit(1).count():
@@ -287,6 +288,7 @@ def _low_bytes(tokens):
 
 def similar(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; k words a shingle, similarity 0.8 or more."""
+    small_batches(docs.sparkSession)
     rows = materialize(describe(docs, k), "near-rows")
     classes = rows.filter("cid IS NOT NULL").groupBy("cid", "digest").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
@@ -302,7 +304,8 @@ def similar(docs: DataFrame, k: int = 5) -> DataFrame:
     named = materialize(named.select("cid", "rep", "root"), "near-named")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least, "root").select("cid", "component").dropDuplicates(["cid"])
-    out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+    copies = classes.select("cid", F.col("copies").alias("size"))
+    out = join_hot(rows.select("doc_id", "n_shingles", "cid"), named, "cid", hot_keys(copies, "cid", rows.count()), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
