@@ -38,7 +38,7 @@ from stratalode.llm.runtime import materialize, steps, strings
 VOCAB, BIGRAMS, MU = 16_384, 1_000_000, 50.0
 #: Target ids that may be broadcast; with more, a shuffle join marks the rows.
 BROADCAST_IDS = 1_000_000
-FINDALL = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
+FINDALL = re.compile(r"\w+|[^\w\s]+").findall
 
 WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("target", T.LongType())])
 PAIRS = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType()), T.StructField("target", T.LongType())])
@@ -102,54 +102,59 @@ class Model:
     def keys(self, ids: np.ndarray) -> np.ndarray:
         return np.r_[self.size - 1, ids[:-1]] * self.size + ids if len(ids) else ids
 
-    def losses(self, text: str, in_target: bool) -> tuple[int, float, float]:
-        """Tokens, and mean loss in bits under the target and the background model without this text."""
-        ids = self.ids(tokens(text))
-        if not len(ids):
-            return 0, 0.0, 0.0
-        keys = self.keys(ids)
-        pairs, inverse, own_pairs = np.unique(keys, return_inverse=True, return_counts=True)
-        heads, words = pairs // self.size, pairs % self.size
-        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
-        own_words = np.bincount(ids, minlength=self.size)
-        own_heads = own_words.copy()
-        own_heads[ids[-1]] -= 1
-        own_heads[self.size - 1] = 1
+    def losses(self, texts: list[str], in_target: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each text, and its mean loss in bits under the target and the background model without itself."""
+        found = [self.ids(tokens(t)) for t in texts]
+        n = np.array([len(f) for f in found], dtype=np.int64)
+        empty = np.zeros(len(texts))
+        if not n.sum():
+            return n, empty, empty.copy()
+        size, begin = self.size, self.size - 1
+        ids, owner = np.concatenate(found), np.repeat(np.arange(len(texts)), n)
+        last = np.zeros(len(ids), dtype=bool)
+        last[(np.cumsum(n) - 1)[n > 0]] = True
+        before = np.r_[begin, np.where(last[:-1], begin, ids[:-1])]
+        # Distinct (text, bigram) with its count in the text, and the text's own counts of both words.
+        both, own_pairs = np.unique((owner * size + before) * size + ids, return_counts=True)
+        text, pairs = both // (size * size), both % (size * size)
+        heads, words = pairs // size, pairs % size
+        known_words, own = np.unique(owner * size + ids, return_counts=True)
+        ends = np.searchsorted(known_words, owner[last] * size + ids[last])
+        as_head = own.copy()
+        np.subtract.at(as_head, ends, 1)  # a text's last word heads no bigram
+        own_words = own[np.searchsorted(known_words, text * size + words)]
+        at = np.minimum(np.searchsorted(known_words, text * size + heads), len(own) - 1)
+        own_heads = np.where(heads == begin, 1, as_head[at])
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            known = self.pairs[at] == pairs
+        marks = np.asarray(in_target, dtype=bool)[text]
         out = []
-        for m, mine in ((0, in_target), (1, True)):
-            c = np.where(known, self.pair_counts[m][at] - own_pairs * mine if len(self.pairs) else 0, 0)
-            unit = (self.words[m][words] - own_words[words] * mine + 1) / (self.total[m] - len(ids) * mine + self.size - 1)
-            begin = heads == self.size - 1
-            head = np.where(begin, self.texts[m], self.words[m][heads]) - own_heads[heads] * mine
+        for m, mine in ((0, marks), (1, np.ones(len(text), dtype=bool))):
+            c = np.where(known, self.pair_counts[m][at] - own_pairs * mine, 0) if len(self.pairs) else np.zeros(len(text))
+            unit = (self.words[m][words] - own_words * mine + 1) / (self.total[m] - n[text] * mine + size - 1)
+            head = np.where(heads == begin, self.texts[m], self.words[m][heads]) - own_heads * mine
             p = (np.maximum(c, 0) + MU * unit) / (np.maximum(np.maximum(head, c), 0) + MU)
-            out.append(float((-np.log2(p) * own_pairs).sum() / len(ids)))
-        return len(ids), out[0], out[1]
+            out.append(np.bincount(text, weights=-np.log2(p) * own_pairs, minlength=len(texts)) / np.maximum(n, 1))
+        return n, out[0], out[1]
 
 
 def _pair_counts(shared):
     def run(batches):
         model = shared.value
-        held, marks, size = [], [], 0
+        held, size = [], 0
 
         def out():
-            keys, target = np.concatenate(held), np.concatenate(marks)
-            order = np.argsort(keys, kind="stable")
-            keys, target = keys[order], target[order]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            n = np.diff(np.r_[starts, len(keys)])
-            batch = pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(n), pa.array(np.add.reduceat(target, starts))], names=PAIRS.names)
+            both, n = np.unique(np.concatenate(held), return_counts=True)  # the bigram, and in the last bit the mark
             held.clear()
-            marks.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(n), pa.array(n * (both & 1))], names=PAIRS.names)
 
         for batch in batches:
             flags = batch.column(2).to_pylist()
             for text, mark in zip(strings(batch.column(1)), flags, strict=True):
                 keys = model.keys(model.ids(tokens(text)))
                 if len(keys):
-                    held.append(keys)
-                    marks.append(np.full(len(keys), int(mark), dtype=np.int64))
+                    held.append(keys << 1 | int(mark))
                     size += len(keys)
                 if size > 1_000_000:
                     yield out()
@@ -197,9 +202,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts, flags = strings(batch.column(1)), batch.column(2).to_pylist()
             for i, j in steps(texts):
-                found = [m.losses(x, y) for x, y in zip(texts[i:j], flags[i:j], strict=True)]
-                n, a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array([x - y for x, y in zip(a, b, strict=True)], pa.float64())], names=SCORES.names)
+                n, a, b = m.losses(texts[i:j], flags[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(a), pa.array(b), pa.array(a - b)], names=SCORES.names)
 
     return rows.mapInArrow(run, SCORES)
 
