@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm.runtime import hot_keys, join_hot, materialize
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a").cast("decimal(38,0)"))).first())
+from stratalode.llm.runtime import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,24 +14,21 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links and repeated links are allowed; null ends are ignored; without
     edges the result is empty.  The number of steps grows with the logarithm of
     the longest path, and each step moves each link a fixed number of times.
+    The neighbourhoods' minima are a table, so that Spark can split the rows of
+    a hub in the join with them.
     """
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = _mark(links)
-    while seen[0]:
-        # Large star: a node tells each larger neighbour the least of its neighbourhood.
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("size")), "links-least")
-        hubs = hot_keys(least, "a", 2 * seen[0])
-        large = join_hot(both.filter("b > a"), least.select("a", "m"), "a", hubs).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # A local minimum keeps its links; every other link now points to a lower end.
+        # Stars: every node is the least of its neighbourhood or has one neighbour only.
+        if not least.filter("m < a AND size > 1").limit(1).count():
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        # Large star: a node tells each larger neighbour the least of its neighbourhood.
+        large = both.filter("b > a").join(least.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         # Small star: a node links its smaller neighbours and itself to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         links = materialize(small.filter("a <> b").distinct(), "links")
-        now = _mark(links)
-        if now == seen:
-            break
-        seen = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

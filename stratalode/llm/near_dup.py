@@ -24,7 +24,7 @@ node of one component is left out, so a large group of near copies, which one
 or two trees join, is not compared twelve times.
 
 Skew: hot minwise tokens make large nodes, which branch on; a hot class is one
-row; the joins keep the rows of hot nodes, hubs and classes where they are.  What a task holds is a node: at most ``SMALL`` sets with ``MASS`` shingles.
+row, and the join back to its rows leaves these where they are.  What a task holds is a node: at most ``SMALL`` sets with ``MASS`` shingles.
 
 Defined results: null and empty texts have the empty set and link with
 nothing; a row without id keeps its row, with a null component; repeated ids
@@ -126,12 +126,12 @@ def leaves(classes: DataFrame, trees: range) -> DataFrame:
     rows = classes.select(F.lit(None).cast("long").alias("node"), "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
     found = []
     for level in range(1, LEVELS + 1):
-        rows = materialize(rows.distinct() if level > 1 else rows, f"near-level{level}")
+        rows = materialize(rows, f"near-level{level}")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("part").alias("low"), F.max("part").alias("high"))
         blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("mass") / MASS)).cast("int").alias("blocks")
-        sizes = materialize(sizes.filter("low <> high").select("node", "size", blocks), f"near-sizes{level}")
-        hot = hot_keys(sizes, "node", rows.count())
-        sized = materialize(join_hot(rows, sizes.drop("size"), "node", hot), f"near-sized{level}")
+        # A table, so that Spark can split the rows of a hot node in the join.
+        sizes = materialize(sizes.filter("low <> high").select("node", blocks), f"near-sizes{level}")
+        sized = materialize(rows.join(sizes, "node"), f"near-sized{level}")
         found.append(sized.filter("blocks = 1").select(*PLACE.names))
         large = sized.filter("blocks > 1")
         if not large.limit(1).count():
@@ -295,10 +295,10 @@ def similar(docs: DataFrame, k: int = 5) -> DataFrame:
     )
     classes = materialize(classes, "near-classes")
     first = link_classes(docs, classes.withColumn("part", F.col("cid")), k, range(FIRST))
-    parts = components(first).select(F.col("node").alias("cid"), "root")
-    parted = materialize(classes.join(parts, "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root"), "near-parted")
+    parts = materialize(components(first), "near-parts")
+    parted = materialize(classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root"), "near-parted")
     second = link_classes(docs, parted, k, range(FIRST, TREES))
-    roots = components(first.unionByName(second))
+    roots = components(second.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.select("cid", "rep", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.filter("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cid"))
     named = materialize(named.select("cid", "rep", "root"), "near-named")

@@ -26,12 +26,16 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; one of this process where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="stratalode-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="stratalode-"))
+        at = _own[0]
     return at.rstrip("/")
 
 
