@@ -10,7 +10,7 @@ from stratalode.operators import graph as G
 from stratalode.operators import vectors as V
 from stratalode.plans import tables
 from stratalode.plans.vector_queries import _query, _sql
-from stratalode.session import table
+from stratalode.session import stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -80,7 +80,9 @@ for _name, _start, _depth, _limit, _edge in [
 ]:
 
     def _run(spark, sf_dir, a=_start, d=_depth, k=_limit, t=_edge):
-        return G.walk(*_graph(spark, sf_dir), tables.GRAPH, a, d, t, k)
+        nodes, edges = _graph(spark, sf_dir)
+        # As in a store, the edges lie in one table: each level reads them again.
+        return G.walk(nodes, stored(edges, "edges"), tables.GRAPH, a, d, t, k)
 
     QUERIES[_name], SQL[_name] = _run, _walk_sql(_start, _depth, _limit, _edge)
 
