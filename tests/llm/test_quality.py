@@ -90,6 +90,30 @@ def test_op6_by_brute_force(spark, words, monkeypatch):
         assert abs(got[i].target_loss - loss[0]) < 1e-9 and abs(got[i].background_loss - loss[1]) < 1e-9
 
 
+def test_op6_keeps_rare_words_and_bigrams(spark):
+    # 20,000 words that stand three times each, of which no fixed vocabulary holds all; the rare pairs are the target's own.
+    names = [f"w{i:05}" for i in range(20_000)]
+    docs = [(i, " ".join(names[i % 100 :: 100])) for i in range(300)] + [(300, " ".join(names[7::100])), (301, " ".join(names[8::100][::-1]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(0, 300, 2)] + [(107,)], "doc_id long")
+    members = {i for i in range(0, 300, 2)} | {107}
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame, target, group_tokens=1_500).collect()}
+    assert len(got) == len(docs)
+    toks = {i: t.split() for i, t in docs}
+    for m, field in ((members, "target_loss"), (set(toks), "background_loss")):
+        one, two = Counter(), Counter()
+        for i in m:
+            one.update(toks[i])
+            two.update(zip([None, *toks[i][:-1]], toks[i]))
+        for i in (7, 8, 107, 108, 203, 300, 301):
+            mine, loss = int(i in m), 0
+            for h, w in zip([None, *toks[i][:-1]], toks[i]):
+                unit = (one[w] - mine + 1) / (sum(one.values()) - len(toks[i]) * mine + len(names) + 1)
+                head = (len(m) if h is None else one[h]) - mine
+                loss -= math.log2((two[h, w] - mine + lm_scoring.MU * unit) / (head + lm_scoring.MU))
+            assert abs(got[i][field] - loss / len(toks[i])) < 1e-9, (i, field)
+
+
 def test_op6_odd_tables(odd, none):
     ids = odd.select("doc_id").filter("doc_id < 4")
     assert lm_scoring.cross_entropy_difference(odd, ids).count() == odd.count()
