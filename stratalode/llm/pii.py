@@ -4,17 +4,22 @@ The base patterns find e-mail addresses, IP addresses, card and phone numbers.
 Each normalised value is a protected entity *e* with information content
 ``IC(e) = -log p(e)``.  A term *t* (a word of letters) near *e* on its line
 discloses it by ``PMI(t, e) / IC(e) = 1 + log p(e | t) / -log p(e)``, estimated
-from the whole corpus: occurrences of t, of e, and of both together.  Terms
+from the whole corpus: occurrences of t outside entities, of e, and of both.  Terms
 whose ratio exceeds ``generalise_at`` are found wherever they stand, as spans
 of kind ``term``; redaction puts a class in their place, and removes those
 above ``remove_at``.
 
-A pair counts only with ``support`` contexts that differ in their least hashed
-word, so that near copies of one line do not make its words disclosing.
-
-Flow: (1) one scan emits (entity, term, context) rows, summed where they are
-made and again after the shuffle; (2) one scan counts the surviving candidate
-terms and all words; (3) the scan that returns the rows.  Candidate and flagged
+A pair's contexts are those of independent documents: exact and near copies
+(``COPY_K``-word shingles at similarity 0.8) are folded, and a group of copies
+counts the differing contexts of the one that has most.  So copies of a line do
+not make its words disclosing, and a line that stands alike in independent
+documents does.  A pair with fewer than ``support`` contexts is rated as if the
+missing ones had the term without the entity; one context proves nothing.
+
+Flow: (1) one scan emits (entity, term, document) rows, summed where they are
+made and again after the shuffle; (2) one scan counts the terms of pairs with
+two contexts, and all words; (3) the documents of the pairs that may still be
+disclosing are grouped by near copies; (4) the scan that returns the rows.  Candidate and flagged
 terms are taken in blocks of about ``BLOCK`` terms by hash, so what is broadcast
 is bounded, whatever the number of terms.
 
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalode.llm import near_dup
 from stratalode.llm import spans as S
 from stratalode.llm.runtime import map_text, materialize, steps, strings
 
@@ -41,8 +47,12 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "term")
 #: Words on each side of an entity that count as its context.
 WINDOW = 6
+#: Fewest independent contexts of a pair, and words a shingle where documents are compared as copies.
+LEAST, COPY_K = 2, 3
 #: Terms of one broadcast block, about.
 BLOCK = 200_000
+#: Pairs or documents that may be broadcast to pick rows; with more, a shuffle join does it.
+BROADCAST_ROWS = 1_000_000
 TERM = re.compile(r"[^\W\d_]{3,}")
 LABEL = {k: f"[{k.upper()}]" for k in BASE}
 
@@ -62,6 +72,18 @@ def _inside(a: int, b: int, spans: list[S.Span]) -> bool:
     return any(x < b and a < y for _, x, y in spans)
 
 
+def _words_inside(text: str, spans: list[S.Span]) -> list[str]:
+    """The words that overlap a span, each once."""
+    found = {}
+    for _, a, b in spans:
+        while a and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        found |= {m.start(): m.group().lower() for m in TERM.finditer(text, a, b)}
+    return list(found.values())
+
+
 def _words_after(text: str, b: int, spans: list[S.Span]) -> list[str]:
     end = text.find("\n", b)
     out: list[str] = []
@@ -88,40 +110,43 @@ def _words_before(text: str, a: int, spans: list[S.Span]) -> list[str]:
     return out
 
 
-PAIRS = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("context", T.LongType()), T.StructField("n", T.LongType())])
+PAIRS = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("contexts", T.LongType())])
 COUNTS = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
 
 
 def _pair_rows(batches):
-    """Sums a batch's rows before they leave the task; a null term counts the entity itself."""
+    """A document's occurrences and differing contexts of each pair; summed over the batch, a null term counts the entity itself, a null entity the term inside entities."""
     for batch in batches:
         sums: Counter = Counter()
-        for text in strings(batch.column(0)):
+        seen: dict[tuple, set[int]] = {}
+        for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
             spans = S.personal(text)
+            for t in _words_inside(text, spans):
+                sums[None, t, 0] += 1
             for who, terms in contexts(text, spans):
                 sums[who, None, 0] += 1
-                hashes = {t: xxhash.xxh64_intdigest(t) for t in terms}
-                least = sorted(hashes.values())[:2]
                 for t in terms:
-                    others = [h for h in least if h != hashes[t]]
-                    sums[who, t, (others[0] if others else 0) >> 1] += 1
-        who, terms, context = zip(*sums, strict=True) if sums else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(terms, pa.string()), pa.array(context, pa.int64()), pa.array(list(sums.values()), pa.int64())], names=PAIRS.names)
+                    sums[who, t, doc] += 1
+                    seen.setdefault((who, t, doc), set()).add(xxhash.xxh64_intdigest(" ".join(sorted(terms - {t}))))
+        who, terms, docs = zip(*sums, strict=True) if sums else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(terms, pa.string()), pa.array(docs, pa.int64()), pa.array(list(sums.values()), pa.int64()), pa.array([len(seen.get(k, ())) for k in sums], pa.int64())], names=PAIRS.names)
 
 
 def _count_rows(terms):
+    """Sums of a task; the known terms bound what it holds."""
+
     def run(batches):
         known = terms.value
+        sums: Counter = Counter()
+        words = 0
         for batch in batches:
-            sums: Counter = Counter()
-            words = 0
             texts = strings(batch.column(0))
             for i, j in steps(texts):
                 for text in texts[i:j]:
                     found = TERM.findall(text.lower())
                     words += len(found)
                     sums.update(w for w in found if w in known)
-            yield pa.RecordBatch.from_arrays([pa.array([*sums, None], pa.string()), pa.array([*sums.values(), words], pa.int64())], names=COUNTS.names)
+        yield pa.RecordBatch.from_arrays([pa.array([*sums, None], pa.string()), pa.array([*sums.values(), words], pa.int64())], names=COUNTS.names)
 
     return run
 
@@ -133,29 +158,54 @@ def _blocks(terms: DataFrame, n: int):
         yield [r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).select("term").collect()]
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _independent(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(entity, term, contexts) from ``members`` (entity, term, doc, contexts), with exact and near copies among the documents folded."""
+    wanted = materialize(members.select("doc").distinct(), "pii-wanted")
+    rows = texts.join(_few(wanted), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    rows = materialize(rows.withColumnRenamed("doc", "doc_id"), "pii-copies")
+    groups = near_dup.similar(rows, COPY_K).select(F.col("doc_id").alias("doc"), F.col("component_id").alias("copies"))
+    found = members.join(groups, "doc").groupBy("entity", "term", "copies").agg(F.max("contexts").alias("contexts"))
+    return found.groupBy("entity", "term").agg(F.sum("contexts").alias("contexts")).filter(F.col("contexts") >= LEAST)
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, generalise_at: float = 0.9) -> DataFrame:
     """(term, ratio): the terms whose disclosure of some entity reaches ``generalise_at``, from the whole corpus."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    sums = texts.mapInArrow(_pair_rows, PAIRS).groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-    sums = sums.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-    # All counts of the candidates and of their entities; most pairs fall below the support here.
-    kept = materialize(sums.filter(F.col("term").isNull() | (F.col("contexts") >= support)), "pii-pairs")
-    pairs = kept.filter("term IS NOT NULL")
+    none = spark.createDataFrame([], "term string, ratio double")
+    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("doc"), "text")
+    sums = texts.mapInArrow(_pair_rows, PAIRS).groupBy("entity", "term", "doc").agg(F.sum("n").alias("n"), F.max("contexts").alias("contexts"))
+    sums = materialize(sums, "pii-sums")
+    # With copies counted apart a pair has as many contexts at least, so none is lost here.
+    pairs = sums.filter("term IS NOT NULL AND entity IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n"), F.sum("contexts").alias("most"))
+    pairs = materialize(pairs.filter(F.col("most") >= LEAST), "pii-pairs")
     terms = materialize(pairs.select("term").distinct(), "pii-candidates")
     n = terms.count()
     if not n:
-        return spark.createDataFrame([], "term string, ratio double")
+        return none
     counts = None
     for block in _blocks(terms, n):
         shared = spark.sparkContext.broadcast(frozenset(block))
-        counted = materialize(texts.mapInArrow(_count_rows(shared), COUNTS).groupBy("term").agg(F.sum("n").alias("total")), "pii-counts")
+        counted = materialize(texts.select("text").mapInArrow(_count_rows(shared), COUNTS).groupBy("term").agg(F.sum("n").alias("total")), "pii-counts")
         words = counted.filter("term IS NULL").agg(F.sum("total")).first()[0]
         counted = counted.filter("term IS NOT NULL")
         counts = counted if counts is None else counts.unionByName(counted)
-    entities = kept.filter("term IS NULL").select("entity", F.col("n").alias("entity_n"))
-    ratio = 1 + F.log(F.least(F.lit(1.0), F.col("n") / F.col("total"))) / F.greatest(F.lit(1e-9), -F.log(F.col("entity_n") / F.lit(float(max(words or 0, 2)))))
-    rated = pairs.join(counts, "term").join(entities, "entity").select("term", ratio.alias("ratio"))
+    inside = sums.filter("entity IS NULL").select("term", F.col("n").alias("inside"))
+    counts = counts.join(inside, "term", "left").select("term", (F.col("total") - F.coalesce("inside", F.lit(0))).alias("total"))
+    entities = sums.filter("term IS NULL").select("entity", F.col("n").alias("entity_n"))
+
+    def ratio(contexts):
+        share = F.least(F.lit(1.0), F.col("n") / F.greatest("n", "total")) * F.least(F.lit(1.0), F.col(contexts) / F.lit(float(support)))
+        return 1 + F.log(share) / F.greatest(F.lit(1e-9), -F.log(F.col("entity_n") / F.lit(float(max(words or 0, 2)))))
+
+    able = materialize(pairs.join(counts, "term").join(entities, "entity").filter(ratio("most") >= generalise_at), "pii-able")
+    if able.isEmpty():
+        return none
+    members = sums.select("entity", "term", "doc", "contexts").join(_few(able.select("entity", "term")), ["entity", "term"], "left_semi")
+    rated = able.join(_independent(texts, materialize(members, "pii-members")), ["entity", "term"]).select("term", ratio("contexts").alias("ratio"))
     return materialize(rated.groupBy("term").agg(F.max("ratio").alias("ratio")).filter(F.col("ratio") >= generalise_at), "pii-terms")
 
 

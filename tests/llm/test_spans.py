@@ -1,6 +1,8 @@
 """Operators 2 and 10 against the patterns as they stand, the lexer, and the co-occurrence counts."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -97,6 +99,29 @@ def test_near_copies_disclose_nothing(spark):
     assert pii.disclosing_terms(docs).count() == 0
 
 
+def test_fixed_names_beside_an_address_disclose_it(spark, words):
+    # Only the first name and the surname stand by the address, in independent documents; a line copied with its document is one.
+    texts = [f"{words(60)}\nAnn Smithson <ann@x.org>\n{words(60)}" for _ in range(4)]
+    texts += [f"{words(60)}\nBea Quillon <bea@y.org>\n{words(60)}" for _ in range(2)]
+    copy = words(120)
+    texts += [f"{copy}\nCyd Vellich <cyd@z.org>\n{words(1)}" for _ in range(6)] + [f"{words(90)}" for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r.term: r.ratio for r in pii.disclosing_terms(docs).collect()}
+    assert terms["ann"] == terms["smithson"] == 1
+    n = sum(len(pii.TERM.findall(t)) for t in texts)
+    for name in ("bea", "quillon"):  # rated with the missing third context
+        assert abs(terms[name] - (1 + math.log(2 / 3) / -math.log(2 / n))) < 1e-9
+    assert not {"cyd", "vellich"} & set(terms)
+
+
+@pytest.mark.parametrize("fixed", [("ann", "smithson"), ("quaint", "zorbla")])
+def test_support_does_not_hang_on_hashes(spark, words, fixed):
+    fill = ["red", "blue", "green", "grey", "black", "white", "brown", "pink"]
+    texts = [f"{' '.join(c)} {' '.join(fixed)} ann@x.org" for c in itertools.combinations(fill, 3)] + [words(50) for _ in range(100)]
+    terms = {r.term for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert set(fixed) <= terms
+
+
 def test_op10_odd_rows(odd, none, spark):
     assert pii.digests(pii.scan(odd)).count() == odd.count()
     assert pii.scan(none).count() == 0 and pii.sanitise(none).count() == 0
