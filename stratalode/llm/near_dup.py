@@ -14,21 +14,27 @@
    threshold agrees on 37 of 64 but with a chance of 2e-5), each pair only in the
    least node that both are in; then the classes with such a pair are compared
    on their full sets.  Pairs are not emitted: a node gives a spanning forest of
-   its links.  A node that stays large after ``LEVELS`` levels is dealt into
-   blocks, and each two blocks are compared as a small node; nothing is capped.
-4. Components of the links, by large and small stars.
+   its links.
+4. Large nodes are contracted before they branch: their rows are dealt into
+   blocks, each with the node's ``REPS`` most central classes as well, and links
+   found there join classes to parts.  Work grows in proportion to the node.  A
+   node of one part is done.  One in which all but ``SMALL / 2`` classes are one
+   part is finished in blocks of that part, with the few others as guests in
+   each.  Only what is left branches; after ``LEVELS`` levels each two blocks of
+   it are compared, so nothing is capped.
+5. Components of the links, by large and small stars.
 
 The trees come in two rounds.  The links of the first ``FIRST`` trees give
-components, and in the other trees only pairs of different components count: a
-node of one component is left out, so a large group of near copies, which one
-or two trees join, is not compared twelve times.
+parts, and in the other trees only pairs of different parts count.
 
-Skew: hot minwise tokens make large nodes, which branch on; a hot class is one
-row, and the join back to its rows leaves these where they are.  What a task holds is a node: at most ``SMALL`` sets with ``MASS`` shingles.
+Skew: hot minwise tokens make large nodes, which are contracted and branch on; a
+hot class is one row, and the join back to its rows leaves these where they are.
+What a task holds is a node or block: about ``SMALL`` sets with ``MASS`` shingles.
 
-Defined results: null and empty texts have the empty set and link with
-nothing; a row without id keeps its row, with a null component; repeated ids
-and rows repeat, each with the component of its set; an empty table gives none.
+Defined results: null and empty texts have an empty set and are linked with
+nothing; a row without id keeps its row, with a null component, and links others
+as any row; repeated ids and rows repeat, each with the component of its set; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -42,30 +48,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalode.llm.components import components
-from stratalode.llm.runtime import hot_keys, id_text, join_hot, materialize, runs, small_batches, steps, strings
+from stratalode.llm.runtime import discard, hot_keys, id_text, join_hot, materialize, runs, small_batches, steps, strings
 from stratalode.llm.shingles import minwise, mix, set_digests, shingle_sets
 
 WIDTH, TREES, FIRST, LEVELS = 64, 12, 2, 4
 #: Most classes of a small node, and most shingles of all its classes.
 SMALL, MASS = 1024, 8_000_000
+#: Central classes of a large node that are in each of its blocks.
+REPS = 64
 #: Tokens that a pair must share to be compared in full.
 AGREE = 37
-#: Ids that may be broadcast to pick texts; with more, a shuffle join does it.
+#: Rows that may be broadcast to pick texts; with more, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 
-ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("tokens", T.BinaryType())])
-NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("cid", T.LongType())])
-PLACE = T.StructType([*NODE.fields, T.StructField("n_shingles", T.LongType()), T.StructField("part", T.LongType())])
-LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-SETS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("shingles", T.BinaryType())])
+LONG = T.LongType()
+ROWS = T.StructType([T.StructField("doc_id", LONG), T.StructField("row_key", LONG), T.StructField("n_shingles", LONG), T.StructField("cid", LONG), T.StructField("digest", LONG), T.StructField("tokens", T.BinaryType())])
+#: A class in a node of a tree, and the part that it belongs to so far.
+PLACE = T.StructType([T.StructField("node", LONG), T.StructField("cid", LONG), T.StructField("n_shingles", LONG), T.StructField("part", LONG)])
+LIKELY = T.StructType([T.StructField("block", LONG), T.StructField("cid", LONG), T.StructField("part", LONG)])
+CENTRAL = T.StructType([T.StructField("node", LONG), T.StructField("cid", LONG), T.StructField("score", LONG)])
+LINKS = T.StructType([T.StructField("a", LONG), T.StructField("b", LONG)])
+SETS = T.StructType([T.StructField("cid", LONG), T.StructField("shingles", T.BinaryType())])
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    texts = strings(batch.column(1))
+    texts = strings(batch.column(batch.num_columns - 1))
     for i, j in steps(texts):
         yield i, j, [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key and text: the key tells rows apart that differ in id or text, also those without id."""
+    return id_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
     """ROWS of whole texts: set size, class (two digests) and minwise tokens; null class for empty sets."""
 
@@ -79,6 +95,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i).cast(pa.int64()),
+                        batch.column(1).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(first.view(np.int64), pa.int64(), mask=empty),
                         pa.array(second.view(np.int64), pa.int64(), mask=empty),
@@ -87,7 +104,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     names=ROWS.names,
                 )
 
-    return id_text(docs).mapInArrow(run, ROWS)
+    return keyed(docs).mapInArrow(run, ROWS)
 
 
 def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,33 +137,138 @@ def _branch(trees: range):
     return run
 
 
-def leaves(classes: DataFrame, trees: range) -> DataFrame:
-    """PLACE rows of the small nodes of some trees; a node has two parts (components so far) at least."""
-    tokens = classes.select("cid", "tokens")
-    rows = classes.select(F.lit(None).cast("long").alias("node"), "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
-    found = []
-    for level in range(1, LEVELS + 1):
-        rows = materialize(rows, f"near-level{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("part").alias("low"), F.max("part").alias("high"))
-        blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("mass") / MASS)).cast("int").alias("blocks")
-        # A table, so that Spark can split the rows of a hot node in the join.
-        sizes = materialize(sizes.filter("low <> high").select("node", blocks), f"near-sizes{level}")
-        sized = materialize(rows.join(sizes, "node"), f"near-sized{level}")
-        found.append(sized.filter("blocks = 1").select(*PLACE.names))
-        large = sized.filter("blocks > 1")
-        if not large.limit(1).count():
-            break
-        if level < LEVELS:
-            rows = large.join(tokens, "cid").select("node", "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
+def _sized(rows: DataFrame, level: int) -> DataFrame:
+    """PLACE rows of the nodes with two parts or more, and ``blocks``, the small nodes that each would fill."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("part").alias("low"), F.max("part").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("mass") / MASS)).cast("int").alias("blocks")
+    # A table, so that Spark can split the rows of a hot node in the join.
+    sizes = materialize(sizes.filter("low <> high").select("node", blocks), f"near-sizes{level}")
+    return materialize(rows.join(sizes, "node"), f"near-sized{level}")
+
+
+def _own(blocks) -> F.Column:
+    return F.pmod(F.xxhash64("cid", "node"), blocks).cast("int")
+
+
+def _places(rows: DataFrame, block, side=0) -> DataFrame:
+    """Rows to compare: block, the node it is of, class and part.  Two rows of one side other than 0 are not compared."""
+    side = F.lit(side) if isinstance(side, int) else side
+    return rows.select(block.alias("block"), F.col("node").alias("home"), side.alias("side"), "cid", "part")
+
+
+class Join:
+    """The links of classes, and the parts that they join."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
+        self.docs, self.k = docs, k
+        self.classes = classes
+        self.short = classes.select("cid", "n_shingles", _low_bytes(F.col("tokens")).alias("tokens"))
+        self.parts: DataFrame | None = None
+        self.sets: list[DataFrame] = []
+
+    def parted(self, rows: DataFrame) -> DataFrame:
+        """PLACE rows with the parts as they are now."""
+        if self.parts is None:
+            return rows
+        names = rows.columns
+        found = rows.withColumnRenamed("part", "before").join(self.parts.select(F.col("node").alias("before"), "root"), "before", "left")
+        return found.withColumn("part", F.coalesce("root", "before")).select(*names)
+
+    def tree_rows(self, trees: range) -> None:
+        """Run the trees: contract, compare, branch; ``parts`` has their links at the end."""
+        start = self.classes.select(F.lit(None).cast("long").alias("node"), "cid", "n_shingles", F.col("cid").alias("part"), "tokens")
+        rows = self.parted(start).mapInArrow(_branch(trees), PLACE)
+        found = []
+        for level in range(1, LEVELS + 1):
+            rows = materialize(rows, f"near-level{level}")
+            sized = _sized(rows, level)
+            discard(rows)
+            found.append(_places(sized.filter("blocks = 1"), F.col("node")))
+            large = sized.filter("blocks > 1")
+            if large.isEmpty():
+                break
+            done, left = self.finish(large)
+            found += done
+            if left.isEmpty():
+                break
+            self.contract(left)
+            done, left = self.finish(_sized(self.parted(left.select(*PLACE.names)), level))
+            found += done
+            if left.isEmpty():
+                break
+            if level < LEVELS:
+                rows = left.join(self.classes.select("cid", "tokens"), "cid").select("node", "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
+            else:
+                # Still many parts: each two blocks of about half a small node are compared.
+                dealt = left.withColumn("blocks", 2 * F.col("blocks")).withColumn("own", _own(F.col("blocks")))
+                dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+                found.append(_places(dealt, F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")), side))
+        places = found[0]
+        for f in found[1:]:
+            places = places.unionByName(f)
+        self.add(self.compare(places, once=True))
+
+    def contract(self, large: DataFrame) -> None:
+        """Join classes of large nodes to parts: blocks compared in themselves and with the node's most central classes."""
+        blocks = F.greatest(F.ceil(F.col("blocks") * SMALL / max(1, SMALL - REPS)), F.lit(2)).cast("int")
+        dealt = large.withColumn("blocks", blocks).withColumn("own", _own(F.col("blocks")))
+        rows = dealt.join(self.short, "cid").select(F.xxhash64("node", "own").alias("block"), "node", "cid", "tokens")
+        best = _by_block(rows).mapInArrow(_central, CENTRAL)
+        # One for each of REPS hash slots: the number is fixed, and no node's rows are ranked in one task.
+        reps = best.groupBy("node", F.pmod(F.xxhash64("cid"), F.lit(REPS)).alias("slot")).agg(F.max(F.struct("score", "cid")).alias("best"))
+        reps = materialize(reps.select("node", F.col("best.cid").alias("cid")).distinct(), "near-reps")
+        guests = dealt.join(reps, ["node", "cid"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> own")
+        places = _places(dealt, F.xxhash64("node", "own")).unionByName(_places(guests, F.xxhash64("node", "other"), 1))
+        self.add(self.compare(places, once=False))
+
+    def finish(self, sized: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+        """Places of the nodes that can be compared now, and the rows of the others."""
+        counts = sized.groupBy("node", "part").agg(F.count("*").alias("n"))
+        most = counts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size"))
+        few = F.col("size") - F.col("most.n") <= SMALL // 2
+        most = materialize(most.select("node", F.col("most.part").alias("main"), few.alias("few")), "near-most")
+        rows = materialize(sized.join(most, "node"), "near-left")
+        mixed = rows.filter("few").withColumn("blocks", 2 * F.col("blocks"))
+        members = _places(mixed.filter("part = main"), F.xxhash64("node", _own(F.col("blocks"))))
+        others = mixed.filter("part <> main")
+        guests = _places(others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), F.xxhash64("node", "other"), 1)
+        among = _places(others, F.xxhash64("node", F.lit(-1)))
+        return [members, guests, among], rows.filter("NOT few")
+
+    def compare(self, places: DataFrame, once: bool) -> DataFrame:
+        """LINKS between classes of different parts with similarity 0.8 or more: a spanning forest of them in each block.
+
+        With ``once``, a pair is compared only in the least node that both classes are in.
+        """
+        if once:
+            places = materialize(places, "near-places")
+            shared = places.groupBy("cid").agg(F.collect_set("home").alias("shared"))  # a few nodes a tree
+            places = places.join(shared, "cid")
         else:
-            # Still large: each two blocks of about half a small node are compared as a node.
-            dealt = large.withColumn("blocks", 2 * F.col("blocks")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            found.append(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid", "n_shingles", "part"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+            places = places.withColumn("shared", F.array("home"))
+        rows = places.join(self.short, "cid").select("block", "home", "side", "cid", "part", "n_shingles", "tokens", "shared")
+        likely = materialize(_by_block(rows).mapInArrow(_likely, LIKELY), "near-likely")
+        self.fetch(likely.select("cid").distinct())
+        sets = None
+        for s in self.sets:
+            sets = s if sets is None else sets.unionByName(s)
+        links = materialize(_by_block(likely.join(sets, "cid").select("block", "cid", "part", "shingles")).mapInArrow(_verify, LINKS), "near-links")
+        discard(likely)
+        return links
+
+    def fetch(self, wanted: DataFrame) -> None:
+        """Store the sets of the classes in ``wanted`` (cid) that are not stored yet."""
+        wanted = wanted.join(self.classes.select("cid", "rep_key"), "cid")
+        for s in self.sets:
+            wanted = wanted.join(s.select("cid"), "cid", "left_anti")
+        self.sets.append(materialize(class_sets(self.docs, materialize(wanted, "near-wanted"), self.k).dropDuplicates(["cid"]), "near-sets"))
+
+    def add(self, links: DataFrame) -> None:
+        """The parts with the links added."""
+        if self.parts is not None:
+            links = links.unionByName(self.parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.parts = materialize(components(links), "near-parts")
 
 
 def _nodes(batches, columns: int) -> Iterator[list]:
@@ -164,15 +286,40 @@ def _nodes(batches, columns: int) -> Iterator[list]:
         yield [held.column(c) for c in range(columns)]
 
 
+def _agreement(group: np.ndarray, i: int) -> np.ndarray:
+    """Tokens that row i of each group shares with the rows after it."""
+    return (group[:, i + 1 :] == group[:, i : i + 1]).sum(axis=2, dtype=np.int16)
+
+
+def _bits(tokens: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+
+
+def _central(batches):
+    """(node, cid, score) of the REPS classes of each block that share the most tokens with the others."""
+    for block, node, cid, tokens in _nodes(batches, 4):
+        bits, taken = _bits(tokens), []
+        scores = np.zeros(len(bits), dtype=np.int64)
+        for a, b in runs(np.asarray(block)):
+            for x in range(WIDTH):
+                _, at, n = np.unique(bits[a:b, x], return_inverse=True, return_counts=True)
+                scores[a:b] += n[at]
+            # In proportion, so that blocks of unlike sizes compare.
+            scores[a:b] = scores[a:b] * 1_000_000 // ((b - a) * WIDTH)
+            taken.append(a + np.argsort(-scores[a:b], kind="stable")[:REPS])
+        at = pa.array(np.concatenate(taken) if taken else [], pa.int64())
+        yield pa.RecordBatch.from_arrays([node.take(at), cid.take(at), pa.array(scores).take(at)], names=CENTRAL.names)
+
+
 def _likely(batches):
-    """(node, cid) of the classes that have, in this node first, a pair which may be similar."""
-    for node, cid, size, part, tokens, shared in _nodes(batches, 6):
-        nodes, cids, sizes, parts = np.asarray(node), np.asarray(cid), np.asarray(size), np.asarray(part)
-        bits = np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+    """LIKELY rows of the classes that have, in this block and its node first, a pair which may be similar."""
+    for block, home, side, cid, part, size, tokens, shared in _nodes(batches, 8):
+        blocks, homes, sides, sizes, parts = (np.asarray(x) for x in (block, home, side, size, part))
+        bits = _bits(tokens)
         by_size: dict[int, list[int]] = {}
-        for a, b in runs(nodes):
+        for a, b in runs(blocks):
             by_size.setdefault(b - a, []).append(a)
-        marked = np.zeros(len(nodes), dtype=bool)
+        marked = np.zeros(len(blocks), dtype=bool)
         lists: dict[int, set] = {}
 
         def in_nodes(i: int) -> set:
@@ -186,16 +333,18 @@ def _likely(batches):
             for x in range(0, len(starts), step := max(1, 4_000_000 // (m * m * WIDTH))):
                 at = np.array(starts[x : x + step])
                 rows = at[:, None] + np.arange(m)
-                group, n, own = bits[rows], sizes[rows], parts[rows]
-                for i in range(m - 1):  # class i against all after it, in all nodes of this size
-                    same = (group[:, i + 1 :] == group[:, i : i + 1]).sum(axis=2, dtype=np.int16)
+                group, n, own, of = bits[rows], sizes[rows], parts[rows], sides[rows]
+                for i in range(m - 1):  # class i against all after it, in all blocks of this size
                     low, high = np.minimum(n[:, i + 1 :], n[:, i : i + 1]), np.maximum(n[:, i + 1 :], n[:, i : i + 1])
-                    likely = (same >= AGREE) & (100 * low >= 80 * high) & (own[:, i + 1 :] != own[:, i : i + 1])
+                    able = (100 * low >= 80 * high) & (own[:, i + 1 :] != own[:, i : i + 1]) & ((of[:, i : i + 1] == 0) | (of[:, i + 1 :] != of[:, i : i + 1]))
+                    if not able.any():
+                        continue
+                    likely = able & (_agreement(group, i) >= AGREE)
                     g, j = np.nonzero(likely & ~(marked[rows[:, i : i + 1]] & marked[rows[:, i + 1 :]]))
                     for p, q in zip(rows[g, i].tolist(), rows[g, i + 1 + j].tolist(), strict=True):
-                        if not (marked[p] and marked[q]) and min(in_nodes(p) & in_nodes(q)) == nodes[p]:
+                        if not (marked[p] and marked[q]) and min(in_nodes(p) & in_nodes(q)) == homes[p]:
                             marked[p] = marked[q] = True
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[marked]), pa.array(cids[marked])], names=NODE.names)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[marked]), pa.array(np.asarray(cid)[marked]), pa.array(parts[marked])], names=LIKELY.names)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -222,16 +371,17 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches):
-    """Links of each node's classes by their full sets, as a spanning forest."""
-    for node, cid, shingles in _nodes(batches, 3):
-        nodes, cids = np.asarray(node), cid.to_pylist()
+    """Links of each block's classes of different parts by their full sets, as a spanning forest."""
+    for block, cid, part, shingles in _nodes(batches, 4):
+        cids, parts = cid.to_pylist(), part.to_pylist()
         left, right = [], []
-        for a, b in runs(nodes):
+        for a, b in runs(np.asarray(block)):
             sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in shingles[a:b]]
             sizes = np.array([len(s) for s in sets])
             common = intersections(sets)
             linked = 100 * common >= 80 * (sizes[:, None] + sizes[None, :] - common)
-            root = list(range(b - a))
+            first: dict[int, int] = {}
+            root = [first.setdefault(p, i) for i, p in enumerate(parts[a:b])]
 
             def top(x: int, root=root) -> int:
                 while root[x] != x:
@@ -247,17 +397,16 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=LINKS.names)
 
 
-def _by_node(rows: DataFrame) -> DataFrame:
-    """Rows of a node together and in order, in many partitions."""
-    return rows.repartition("node").sortWithinPartitions("node")
+def _by_block(rows: DataFrame) -> DataFrame:
+    """Rows of a block together and in order, in many partitions."""
+    return rows.repartition("block").sortWithinPartitions("block")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """SETS of the classes in ``wanted`` (cid, rep), from the text of one document of each."""
+    """SETS of the classes in ``wanted`` (cid, rep_key), from the text of one row of each."""
     n = wanted.count()
-    reps = wanted.select(F.col("rep").alias("doc_id"), F.col("cid").alias("want"))
-    rows = id_text(docs)
-    rows = rows.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "doc_id").select("want", "text")
+    reps = wanted.select(F.col("rep_key").alias("row_key"), F.col("cid").alias("want"))
+    rows = keyed(docs).join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "row_key").select("want", "text")
 
     def run(batches):
         for batch in batches:
@@ -269,48 +418,60 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, k: int, trees: range) -> DataFrame:
-    """LINKS between classes of different parts with similarity 0.8 or more: a spanning forest of them in each node."""
-    found = leaves(classes, trees)
-    joined = found.groupBy("cid").agg(F.first("part").alias("part"), F.collect_set("node").alias("shared"))  # a few nodes a tree
-    short = joined.join(classes.select("cid", "n_shingles", _low_bytes(F.col("tokens")).alias("tokens")), "cid")
-    rows = short.select(F.explode("shared").alias("node"), "cid", "n_shingles", "part", "tokens", "shared")
-    likely = materialize(_by_node(rows).mapInArrow(_likely, NODE), "near-likely")
-    wanted = materialize(likely.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "near-wanted")
-    sets = materialize(class_sets(docs, wanted, k), "near-sets").dropDuplicates(["cid"])
-    return materialize(_by_node(likely.join(sets, "cid").select("node", "cid", "shingles")).mapInArrow(_verify, LINKS), "near-links")
-
-
 def _low_bytes(tokens):
     """The first byte of each four: enough of a token to estimate similarity."""
     return F.unhex(F.regexp_replace(F.hex(tokens), "(..)......", "$1"))
 
 
-def similar(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; k words a shingle, similarity 0.8 or more."""
+def members(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """ROWS, and (cid, root) of the classes that are linked to others; the root names their component."""
     small_batches(docs.sparkSession)
     rows = materialize(describe(docs, k), "near-rows")
-    classes = rows.filter("cid IS NOT NULL").groupBy("cid", "digest").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
-    )
-    classes = materialize(classes, "near-classes")
-    first = link_classes(docs, classes.withColumn("part", F.col("cid")), k, range(FIRST))
-    parts = materialize(components(first), "near-parts")
-    parted = materialize(classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root"), "near-parted")
-    second = link_classes(docs, parted, k, range(FIRST, TREES))
-    roots = components(second.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = classes.select("cid", "rep", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    named = named.filter("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cid"))
-    named = materialize(named.select("cid", "rep", "root"), "near-named")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(least, "root").select("cid", "component").dropDuplicates(["cid"])
-    copies = classes.select("cid", F.col("copies").alias("size"))
-    out = join_hot(rows.select("doc_id", "n_shingles", "cid"), named, "cid", hot_keys(copies, "cid", rows.count()), "left")
+    # Two classes of one cid, the first digest, would merely be taken as one.
+    classes = rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("row_key").alias("rep_key"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+    join = Join(docs, materialize(classes, "near-classes"), k)
+    join.tree_rows(range(FIRST))
+    join.tree_rows(range(FIRST, TREES))
+    return rows, join.parts.select(F.col("node").alias("cid"), "root")
+
+
+def similar(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; k words a shingle, similarity 0.8 or more."""
+    rows, roots = members(docs, k)
+    classes = rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    named = classes.join(roots, "cid", "left").filter("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cid"))
+    named = materialize(named, "near-named")
+    # A hot root's classes stay where they are: its least id is one row.
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("size")), "near-least")
+    total = rows.count()
+    component = join_hot(named.select("root", "cid", "copies"), least.select("root", "component"), "root", hot_keys(least, "root", total))
+    component = materialize(component.select("cid", "component", F.col("copies").alias("size")), "near-component")
+    out = join_hot(rows.select("doc_id", "n_shingles", "cid"), component.select("cid", "component"), "cid", hot_keys(component, "cid", total), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_similar(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``docs`` with one document of each component; of rows with one id, all or none stay."""
-    gone = materialize(similar(docs, k).filter("NOT kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with one row of each component, that of the least id (rows without id last) and row key."""
+    rows, roots = members(docs, k)
+    # One entry for each text and id; what is left of equal rows is one of them.
+    keys = rows.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("cid").alias("cid"), F.count("*").alias("n"))
+    keys = keys.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    keys = materialize(keys, "near-keys")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = keys.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    first = materialize(first.select("root", F.col("first.row_key").alias("first_key"), "size").filter("size > 1"), "near-first")
+    joined = join_hot(keys.filter("root IS NOT NULL"), first.select("root", "first_key"), "root", hot_keys(first, "root", keys.count()))
+    gone = materialize(joined.filter("row_key <> first_key").select(F.col("row_key").alias("__key")), "near-gone")
+    names = [f"`{c}`" for c in docs.columns]
+    left = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))  # as in keyed
+    left = left.join(_few(gone), "__key", "left_anti")
+    repeated = materialize(keys.filter("n > 1 AND cid IS NOT NULL").select(F.col("row_key").alias("__key")), "near-repeated")
+    if repeated.isEmpty():
+        return left.select(*names)
+    once = left.join(_few(repeated), "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*names)).alias("__row")).select("__row.*")
+    return left.join(_few(repeated), "__key", "left_anti").select(*names).unionByName(once)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
