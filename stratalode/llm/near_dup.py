@@ -15,13 +15,13 @@
    least node that both are in; then the classes with such a pair are compared
    on their full sets.  Pairs are not emitted: a node gives a spanning forest of
    its links.
-4. Large nodes are contracted before they branch: their rows are dealt into
-   blocks, each with the node's ``REPS`` most central classes as well, and links
-   found there join classes to parts.  Work grows in proportion to the node.  A
-   node of one part is done.  One in which all but ``SMALL / 2`` classes are one
-   part is finished in blocks of that part, with the few others as guests in
-   each.  Only what is left branches; after ``LEVELS`` levels each two blocks of
-   it are compared, so nothing is capped.
+4. Large nodes are contracted, at the first level before they branch and at the
+   last: their rows are dealt into blocks, each with the node's ``REPS`` most
+   central classes as well, and links found there join classes to parts.  Work
+   grows in proportion to the node.  A node of one part is done.  One in which all
+   but ``SMALL / 2`` classes are one part is finished in blocks of that part, with
+   the few others as guests in each.  Only what is left branches; after ``LEVELS``
+   levels each two blocks of it are compared, so nothing is capped.
 5. Components of the links, by large and small stars.
 
 The trees come in two rounds.  The links of the first ``FIRST`` trees give
@@ -187,13 +187,12 @@ class Join:
             large = sized.filter("blocks > 1")
             if large.isEmpty():
                 break
-            done, left = self.finish(large)
-            found += done
-            if left.isEmpty():
-                break
-            self.contract(left)
-            done, left = self.finish(_sized(self.parted(left.select(*PLACE.names)), level))
-            found += done
+            left = large
+            if self.parts is not None and level in (1, LEVELS):
+                left = self.finish(left, found)
+            if (self.parts is None or level == LEVELS) and not left.isEmpty():
+                self.contract(left)
+                left = self.finish(_sized(self.parted(left.select(*PLACE.names)), level), found)
             if left.isEmpty():
                 break
             if level < LEVELS:
@@ -207,7 +206,7 @@ class Join:
         places = found[0]
         for f in found[1:]:
             places = places.unionByName(f)
-        self.add(self.compare(places, once=True))
+        self.add(self.compare(self.parted(places), once=True))
 
     def contract(self, large: DataFrame) -> None:
         """Join classes of large nodes to parts: blocks compared in themselves and with the node's most central classes."""
@@ -222,8 +221,8 @@ class Join:
         places = _places(dealt, F.xxhash64("node", "own")).unionByName(_places(guests, F.xxhash64("node", "other"), 1))
         self.add(self.compare(places, once=False))
 
-    def finish(self, sized: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-        """Places of the nodes that can be compared now, and the rows of the others."""
+    def finish(self, sized: DataFrame, found: list[DataFrame]) -> DataFrame:
+        """Add the places of the nodes that can be compared now; the rows of the others."""
         counts = sized.groupBy("node", "part").agg(F.count("*").alias("n"))
         most = counts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size"))
         few = F.col("size") - F.col("most.n") <= SMALL // 2
@@ -234,7 +233,8 @@ class Join:
         others = mixed.filter("part <> main")
         guests = _places(others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), F.xxhash64("node", "other"), 1)
         among = _places(others, F.xxhash64("node", F.lit(-1)))
-        return [members, guests, among], rows.filter("NOT few")
+        found += [members, guests, among]
+        return rows.filter("NOT few").drop("main", "few")
 
     def compare(self, places: DataFrame, once: bool) -> DataFrame:
         """LINKS between classes of different parts with similarity 0.8 or more: a spanning forest of them in each block.
