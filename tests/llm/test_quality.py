@@ -122,7 +122,7 @@ def test_op6_odd_tables(odd, none):
 
 
 def test_op7_rows(spark, odd, none, words):
-    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, words(1 + i % 50)) for i in range(400)], "doc_id long, text string"))
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, words(1 + i % 50)) for i in range(400)], "doc_id long, text string"), allowMissingColumns=True)
     source = docs.collect()
     rows = sharding.shard(docs, 8).collect()
     assert len(rows) == len(source)
@@ -148,13 +148,35 @@ def test_differencing_is_near_the_best():
     for _ in range(30):
         sizes = [rng.randrange(1, 40) for _ in range(8)]
         best = min(max(sum(s for s, p in zip(sizes, part) if p == k) for k in range(3)) for part in product(range(3), repeat=8))
-        found = sharding.differencing(sizes, 3)
+        found = [p[0] for p in sharding.differencing([[s] for s in sizes], 3)]
         assert max(sum(s for s, p in zip(sizes, found) if p == k) for k in range(3)) <= best * 1.25
-    assert sharding.differencing([], 3) == [] and sharding.differencing([5], 3) == [0]
-    sizes = [rng.randrange(1, 10_000) for _ in range(5_000)]
-    found = sharding.differencing(sizes, 8)
-    totals = [sum(s for s, p in zip(sizes, found) if p == k) for k in range(8)]
-    assert max(totals) - min(totals) <= 8
+    assert sharding.differencing([], 3) == [] and sharding.differencing([[5]], 3) == [[0]]
+    sizes = np.array([rng.randrange(1, 10_000) for _ in range(5_000)])
+    for chunk in (10_000, 300):  # at once, and in chunks whose partial partitions are joined
+        totals = np.bincount(sharding.partition(sizes, 8, chunk), weights=sizes)
+        assert max(totals) - min(totals) <= 8
+
+
+def test_op7_by_brute_force(spark, odd, words, monkeypatch):
+    """All rows, also with buckets, blocks and single groups of small size: sizes, checksums, equal texts together, balance, slots."""
+    rng = random.Random(3)
+    texts = [words(rng.randrange(1, 60)) for _ in range(300)] + ["same text"] * 60 + ["", None]
+    docs = odd.select("doc_id", "text").filter("doc_id <> 5 OR doc_id IS NULL").unionByName(spark.createDataFrame([(i % 350, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    plain = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    for small in (False, True):
+        if small:
+            for name, value in (("BUCKET_GROUPS", 40), ("CHUNK", 7), ("BUCKET_ROWS", 50), ("BLOCK", 3)):
+                monkeypatch.setattr(sharding, name, value)
+        rows = sharding.shard(docs, 8, **({"bins": 64, "loose": 30} if small else {})).collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == plain
+        shard_of = {}
+        for r in rows:
+            assert shard_of.setdefault((r["size"], r.text_crc32), r.shard) == r.shard and r.law == "bytes" and r.grown_shard is None
+        totals = [sum(r["size"] for r in rows if r.shard == k) for k in range(8)]
+        assert max(totals) - min(totals) <= 8
+        for k in range(8):
+            slots = sorted(r.slot for r in rows if r.shard == k)
+            assert slots == list(range(len(slots)))
 
 
 def plain_measures(t):
