@@ -1,11 +1,13 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table ``(content_digest, model_digest, n_tokens)`` in a
-shared folder.  A call joins the digests of its normalised contents to the
-cache, encodes only the distinct contents that miss, appends their counts, and
-joins all rows to the cache again.  Texts move once, and only the first of the
-equal texts of a task moves; the second pass moves digests and ids only, and
-the rows of a digest that very many copies share do not move at all.
+shared folder.  A call joins the distinct digests of its normalised contents to
+the cache, fetches and encodes one text of each digest that misses, appends the
+counts, and joins all rows to the cache again.  The joins move digests and ids
+only.  Up to ``BROADCAST_DIGESTS`` missing digests are broadcast to the scan that
+fetches their texts, so a text with a known count never moves; with more, and on
+an empty cache, texts are dealt by digest, the first of the equal texts of a task.
+The rows of a digest that very many copies share do not move at all.
 
 Normalisation is what the tokenizer itself ignores: for the SentencePiece model
 used here (identity normaliser, white space kept) that is nothing but null
@@ -29,7 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalode.llm.runtime import hot_keys, join_hot, new_dir, small_batches, steps, strings
+from stratalode.llm.runtime import hot_keys, join_hot, materialize, new_dir, small_batches, steps, strings
+
+#: Missing digests (32 bytes each) that may be broadcast to pick their texts; with more, a shuffle join does it.
+BROADCAST_DIGESTS = 200_000
 
 CACHE = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("model_digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -93,9 +98,13 @@ def count_tokens(
     model = F.lit(bytearray(model_digest))
     cached = read_cache(spark, cache_dir).filter(F.col("model_digest") == model)
 
-    # Distinct misses: partial aggregation keeps one text a digest and task, whatever the number of copies.
-    firsts = docs.select(F.unhex(F.sha2(content, 256)).alias("content_digest"), content.alias("content")).groupBy("content_digest").agg(F.first("content").alias("content"))
-    misses = firsts.join(cached.select("content_digest"), "content_digest", "left_anti")
+    contents = docs.select(F.unhex(F.sha2(content, 256)).alias("content_digest"), content.alias("content"))
+    if not cached.isEmpty():
+        misses = materialize(contents.select("content_digest").distinct().join(cached.select("content_digest"), "content_digest", "left_anti"), "token-misses")
+        n = misses.count()
+        contents = contents.join(F.broadcast(misses) if n <= BROADCAST_DIGESTS else misses, "content_digest", "left_semi")
+    # Partial aggregation keeps one text a digest and task, whatever the number of copies.
+    firsts = contents.groupBy("content_digest").agg(F.first("content").alias("content"))
 
     def run(batches):
         count = counter()
@@ -104,7 +113,7 @@ def count_tokens(
             for i, j in steps(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([model_digest] * (j - i), pa.binary()), pa.array(count(texts[i:j]), pa.int64())], names=CACHE.names)
 
-    misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache_dir)
+    firsts.mapInArrow(run, CACHE).write.mode("append").parquet(cache_dir)
 
     counts = read_cache(spark, cache_dir).filter(F.col("model_digest") == model).groupBy("content_digest").agg(F.max("n_tokens").alias("__n"))
     new = {"n_bytes", "n_tokens", "over_limit"}

@@ -82,3 +82,18 @@ def test_op3_rows_and_cache(spark, odd, none, tmp_path):
     assert {r.n_tokens for r in other.collect()} == {6}
     assert token_counts.read_cache(spark, cache).count() == stored.count() + 1
     assert token_counts.count_tokens(none, PIECES, str(tmp_path / "empty")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_op3_encodes_only_what_a_stored_cache_lacks(spark, words, tmp_path, monkeypatch, most):
+    """Also where the missing digests are too many to broadcast."""
+    monkeypatch.setattr(token_counts, "BROADCAST_DIGESTS", most)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    cache = str(tmp_path / "cache")
+    old = [(i, words(20)) for i in range(30)]
+    token_counts.count_tokens(spark.createDataFrame(old, "doc_id long, text string"), PIECES, cache).collect()
+    before = token_counts.read_cache(spark, cache).count()
+    new = old + [(100 + i, words(20)) for i in range(5)] + [(200, old[0][1]), (201, None)]
+    got = token_counts.count_tokens(spark.createDataFrame(new, "doc_id long, text string"), PIECES, cache).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i, len(library.encode(t or ""))) for i, t in new)
+    assert token_counts.read_cache(spark, cache).count() == before + 6
