@@ -7,13 +7,16 @@ into ``budget + 1`` pieces; ``budget`` edits leave one of them whole, so an
 Aho-Corasick pass over the document for all pieces finds every place to look at.
 There, Myers' bit-parallel algorithm gives the least edit distance.
 
+Items under ``LEAST`` normalised characters are too short for edits to tell a leak
+from chance, and match whole words exactly.
+
 Documents are read once per block of items, and blocks hold about ``BLOCK_BYTES``
 of item text, so what is broadcast is bounded however many items there are.
 
-Defined results: null or empty documents and items match nothing; items under
-``least`` normalised characters are too short to tell a leak and match nothing;
-items with equal texts each match; repeated rows repeat; a document of any
-length is searched whole.
+Defined results: null or empty documents, and items without a letter or digit,
+match nothing; an item without id matches as any, with a null id; items with
+equal texts each match; repeated rows repeat; a document of any length is
+searched whole.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from stratalode.llm.runtime import strings
 
 RATE, LEAST = 0.05, 32
 BLOCK_BYTES = 4_000_000
-GAP = re.compile(r"[\W_]+")
 TOKEN = re.compile(r"[^\W_]+")
 
 FOUND = T.StructType([
@@ -43,7 +45,8 @@ FOUND = T.StructType([
 
 
 def normalise(text: str) -> str:
-    return GAP.sub(" ", text.lower()).strip()
+    """The runs of letters and digits, in lower case, with one space between them."""
+    return " ".join(TOKEN.findall(text)).lower()
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -79,9 +82,10 @@ def myers(pattern_masks: dict[str, int], length: int, text: str, anchored: bool
 
 
 class Item:
-    def __init__(self, item_id: int, text: str, rate: float):
+    def __init__(self, item_id: int | None, text: str, rate: float):
         self.id, self.text = item_id, text
-        self.budget = int(len(text) * rate)
+        self.short = len(text) < LEAST
+        self.budget = 0 if self.short else int(len(text) * rate)
         self.masks, self.back = masks(text), masks(text[::-1])
 
     def pieces(self):
@@ -95,6 +99,9 @@ class Item:
         """(distance, start, end) of the best stretch near the given starts, if within the budget."""
         k, n, found = self.budget, len(self.text), None
         starts = sorted(set(starts))
+        if self.short:
+            whole = (a for a in starts if (not a or text[a - 1] == " ") and text[a + n : a + n + 1] in ("", " "))
+            return next(((0, a, a + n) for a in whole), None)
         i = 0
         while i < len(starts):
             j = i
@@ -117,7 +124,7 @@ class Item:
 class Matcher:
     """All items of a block and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         self.items = [Item(i, t, rate) for i, t in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
@@ -130,9 +137,9 @@ class Matcher:
 
     def find(self, text: str) -> list[dict]:
         """The leaks in one text; start and end are code points of the text as it is, at whole words."""
-        if not self.items:
-            return []
         norm = normalise(text)
+        if not self.items or not norm:
+            return []
         starts: dict[int, list[int]] = {}
         for at, (length, owners) in self.automaton.iter(norm):
             for n, offset in owners:
@@ -146,7 +153,7 @@ class Matcher:
                 distance, a, b = found
                 words = [p for p in places if p[1] > a and p[0] < b]
                 out.append({"item_id": item.id, "distance": distance, "budget": item.budget, "start": words[0][2], "end": words[-1][3]})
-        return sorted(out, key=lambda x: (x["item_id"], x["start"]))
+        return sorted(out, key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
 
     @staticmethod
     def places(text: str) -> list[tuple[int, int, int, int]]:
@@ -159,24 +166,24 @@ class Matcher:
         return out
 
 
-def blocks(items: DataFrame, least: int = LEAST, id_col: str = "item_id", text_col: str = "text"):
+def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """The items in lists of about BLOCK_BYTES of text; a list is small enough to broadcast."""
-    items = items.select(items[id_col].cast("long").alias("item_id"), items[text_col].cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.select(items[id_col].cast("long").alias("item_id"), items[text_col].cast("string").alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for k in range(n):
-        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        some = sorted((r.item_id, normalise(r.text)) for r in some)
-        yield [(i, t) for i, t in some if len(t) >= least]
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        some = sorted(((r.item_id, normalise(r.text)) for r in some), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield [(i, t) for i, t in some if t]
 
 
-def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item that leaks into it: doc_id, item_id, distance, budget, start, end."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = T.StructType([source.schema["doc_id"], *FOUND.fields])
     out = None
-    for block in blocks(items, least):
+    for block in blocks(items):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -195,10 +202,10 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LE
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
     names = docs.columns
-    for block in blocks(items, least):
+    for block in blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

@@ -30,7 +30,7 @@ def test_myers_by_brute_force():
 
 def test_op1_by_brute_force(spark, words, odd, none):
     rng = random.Random(4)
-    items = [(i, words(14)) for i in range(12)] + [(50, None), (51, ""), (52, "too short")]
+    items = [(i, words(14)) for i in range(12)] + [(50, None), (51, ""), (52, "zu kurz"), (None, "ohne id"), (53, "; -")]
     docs = []
     for i in range(60):
         _, t = items[rng.randrange(12)]
@@ -39,7 +39,7 @@ def test_op1_by_brute_force(spark, words, odd, none):
             at = rng.randrange(len(edited))
             rng.choice([lambda: edited.__setitem__(at, "q"), lambda: edited.pop(at), lambda: edited.insert(at, "z")])()
         docs.append((i, words(10) + ". " + ("".join(edited).upper() if i % 2 else "".join(edited)) + ", " + words(10)))
-    docs += [(90, None), (91, ""), (92, words(40))]
+    docs += [(90, None), (91, ""), (92, words(40)), (93, "Das ist ZU, kurz!"), (94, "zu kurzer zu  kurz"), (95, "dazu kurz"), (96, "x\u0130 " * 30 + items[3][1]), (97, "Ohne ID steht hier"), (98, "\u0130 zu kurz")]
     rows = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = set()
     for d, t in docs:
@@ -48,6 +48,7 @@ def test_op1_by_brute_force(spark, words, odd, none):
             least, budget = min(sellers(s, n)), int(len(s) * decontamination.RATE)
             if least <= budget:
                 want.add((d, i, least, budget))
+    want |= {(93, 52, 0, 0), (94, 52, 0, 0), (98, 52, 0, 0), (97, None, 0, 0)}
     assert {(r.doc_id, r.item_id, r.distance, r.budget) for r in rows} == want and len(rows) == len(want)
     texts = dict(docs)
     for r in rows:
