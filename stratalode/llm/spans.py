@@ -47,7 +47,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
 DIGIT = re.compile(r"[0-9]")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -66,22 +66,18 @@ def secrets(text: str) -> list[Span]:
 
 
 def emails(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of the e-mail pattern, one try for each @.
+    """Leftmost non-overlapping matches of the e-mail pattern, one try for each run of local characters before an @.
 
     A match has one @, as neither side of the pattern can hold another, and
     starts at the leftmost local character before it that no match has taken.
     """
     out: list[Span] = []
-    taken, at = 0, text.find("@")
-    while at >= 0:
-        if at >= taken and (domain := DOMAIN.match(text, at + 1)):
-            length = LOCAL.match(text[taken:at][::-1]).end()
-            if length:
-                out.append(("email", at - length, domain.end()))
-                taken = domain.end()
-        elif at >= taken:
-            taken = at + 1  # nothing before a failed @ can be part of a later match
-        at = text.find("@", at + 1)
+    taken = 0
+    for m in LOCAL.finditer(text):
+        start = max(m.start(), taken)
+        if start < m.end() - 1 and (domain := DOMAIN.match(text, m.end())):
+            out.append(("email", start, domain.end()))
+            taken = domain.end()
     return out
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -40,11 +41,13 @@ def test_base_spans_of_random_texts():
         assert sorted(S.personal(t)) == sorted(plain_personal(t)), t
 
 
-@pytest.mark.parametrize("t", ["a" * 200_000, "1" * 200_000, "a=b" * 60_000, "." * 200_000 + "@", "1." * 100_000, '"' * 100_000, "a@" * 100_000, "x: " * 60_000])
+@pytest.mark.parametrize("t", ["a" * 200_000, "1" * 200_000, "a=b" * 60_000, "." * 200_000 + "@", "1." * 100_000, '"' * 100_000, "a@" * 100_000, "x: " * 60_000, " @b.c" * 80_000, "x=" + "+".join(["'ab'"] * 40_000), "a='x'\n" + "a=a+a\n" * 30_000 + "password=a", "".join(f"s{i + 1}=s{i}+'k{i}'\npassword=s{i}\n" for i in range(8_000))])
 def test_long_runs_take_linear_time(t):
+    began = time.process_time()
     S.secrets(t)
     S.personal(t)
     secrets.literals(t)
+    assert time.process_time() - began < 8
 
 
 def test_lexer_propagates_constants():
@@ -60,6 +63,52 @@ def test_lexer_propagates_constants():
         assert found(t) == []
 
 
+def test_lexer_reads_typed_declarations_and_long_names_and_values():
+    def found(t):
+        return [t[a:b] for a, b, _ in secrets.literals(t)]
+
+    for t in ('password: str = "Zk3$9fLq21xx"', 'const apiKey: string = "Zk3$9fLq21xx";', 'let secret: &str = "Zk3$9fLq21xx";', 'token: Optional[str] | None = "Zk3$9fLq21xx"'):
+        assert found(t) == ["Zk3$9fLq21xx"], t
+    assert found("x" * 5_000 + '_password = "Zk3$9fLq21xx"') == ["Zk3$9fLq21xx"]
+    long = "Zk3$9fLq21xx" * 20_000
+    assert found(f'a = "{long}"\npassword = a') == [long]
+
+
+def test_literal_spans_by_brute_force():
+    """Random programs of assignments; the plain way substitutes whole values and keeps every origin."""
+    rng = random.Random(6)
+    names = ["a", "b", "c", "color", "db_password", "api_key", "x.secret", "title"]
+    for _ in range(400):
+        text, env, want = "", {}, {}
+        for _ in range(rng.randrange(1, 12)):
+            name = rng.choice(names)
+            text += name + rng.choice([" = ", ": ", "=", " := ", ": str = "])
+            value, origins, quoted = "", [], False
+            for k in range(n := rng.randrange(1, 4)):
+                if env and rng.random() < 0.5:
+                    other = rng.choice(sorted(env))
+                    text += other
+                    value, origins, quoted = value + env[other][0], origins + env[other][1], quoted or env[other][2]
+                else:
+                    s = rng.choice(["Zk3$9fLq21xx", "changeme", "hello world again", "aaaaaaaaaa", "q7", "", "Qw8!zz-12.Xy"])
+                    text += '"'
+                    value, origins, quoted = value + s, origins + [(len(text), len(text) + len(s))], True
+                    text += s + '"'
+                text += rng.choice([" + ", "+"]) if k < n - 1 else "\n"
+            if not value:
+                continue
+            env[name] = (value, origins, quoted)
+            plain = secrets.Value()
+            plain.literal(0, 0, value, quoted)
+            weight, score = secrets.name_score(name), plain.score()
+            if weight and score >= 0.5 and weight + score >= secrets.THRESHOLD:
+                for span in origins:
+                    if span[1] > span[0]:
+                        want.setdefault(span, weight + score)
+        got = {(a, b): s for a, b, s in secrets.literals(text)}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got), text
+
+
 def test_op2_rows(odd, none, spark):
     rows = [(10, 'pw = "Zk3$9fLq21xx"; db_password = pw; token=abcdefgh1234 AKIAABCDEFGHIJKL ' + "0a" * 16), (11, None)]
     got = {r.doc_id: r for r in secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
