@@ -1,13 +1,14 @@
 """Personal data: patterns, and terms that disclose a protected entity by co-occurrence.
 
-The base patterns find e-mail addresses, IP addresses, card and phone numbers.
+The base patterns find e-mail addresses, IP addresses, card and phone numbers, and
+``name`` finds persons by a form of address or a field's label before them.
 Each normalised value is a protected entity *e* with information content
 ``IC(e) = -log p(e)``.  A term *t* (a word of letters) near *e* on its line
 discloses it by ``PMI(t, e) / IC(e) = 1 + log p(e | t) / -log p(e)``, estimated
 from the whole corpus: occurrences of t outside entities, of e, and of both.  Terms
 whose ratio exceeds ``generalise_at`` are found wherever they stand, as spans
-of kind ``term``; redaction puts a class in their place, and removes those
-above ``remove_at``.
+of kind ``term``; redaction puts the broader class of words of their form in their
+place (a name, an acronym, a word), and removes those above ``remove_at``.
 
 A pair's contexts are those of independent documents: exact and near copies
 (``COPY_K``-word shingles at similarity 0.8) are folded, and a group of copies
@@ -17,11 +18,11 @@ documents does.  A pair with fewer than ``support`` contexts is rated as if the
 missing ones had the term without the entity; one context proves nothing.
 
 Flow: (1) one scan emits (entity, term, document) rows, summed where they are
-made and again after the shuffle; (2) one scan counts the terms of pairs with
-two contexts, and all words; (3) the documents of the pairs that may still be
-disclosing are grouped by near copies; (4) the scan that returns the rows.  Candidate and flagged
-terms are taken in blocks of about ``BLOCK`` terms by hash, so what is broadcast
-is bounded, whatever the number of terms.
+made and again after the shuffle; (2) one scan counts words, summed in the same
+way; (3) the documents of the pairs that may still be disclosing are grouped by
+near copies; (4) the scan that returns the rows.  Up to ``BROADCAST_TERMS`` terms
+are broadcast to a scan.  With more, (2) counts all words, and before (4) each
+text's distinct words are joined to the terms, so the number of scans is fixed.
 
 Defined results: null and empty texts have no spans; repeated rows repeat, and
 count as often as they stand; with no entity, or an empty table, no term is
@@ -41,24 +42,47 @@ from pyspark.sql import types as T
 
 from stratalode.llm import near_dup
 from stratalode.llm import spans as S
-from stratalode.llm.runtime import map_text, materialize, steps, strings
+from stratalode.llm.runtime import hot_keys, join_hot, map_text, materialize, steps, strings, to_arrow
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "term")
+KINDS = (*BASE, "name", "term", "gone")  # "gone" only while sanitising: a term to remove
 #: Words on each side of an entity that count as its context.
 WINDOW = 6
 #: Fewest independent contexts of a pair, and words a shingle where documents are compared as copies.
 LEAST, COPY_K = 2, 3
-#: Terms of one broadcast block, about.
-BLOCK = 200_000
+#: Terms that may be broadcast, and distinct words after which a task sends on its sums.
+BROADCAST_TERMS, WORDS_HELD = 200_000, 200_000
 #: Pairs or documents that may be broadcast to pick rows; with more, a shuffle join does it.
 BROADCAST_ROWS = 1_000_000
 TERM = re.compile(r"[^\W\d_]{3,}")
-LABEL = {k: f"[{k.upper()}]" for k in BASE}
+LABEL = {k: f"[{k.upper()}]" for k in (*BASE, "name")}
+# Forms of address, and labels of fields that hold a person's name.
+ADDRESS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra")
+FIELD = ("name", "full name", "first name", "last name", "surname", "patient", "nombre", "apellido", "nom", "vorname", "nachname")
+CAPITALISED = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*+"
+PERSON = rf"\x20?({CAPITALISED}(?:\x20{CAPITALISED}){{0,3}}+)"
+ADDRESSED = re.compile(rf"\b(?:{'|'.join(ADDRESS)})\b\.?{PERSON}")
+FIELDED = re.compile(rf"\b(?i:{'|'.join(FIELD)})[\"']?\x20?[:=]\x20?[\"']?{PERSON}")
+
+
+def names(text: str) -> list[tuple[int, int]]:
+    """Places of persons' names after a form of address or a field's label; words are searched before patterns, which is faster."""
+    out = set()
+    if any(k in text for k in ADDRESS):
+        out |= {m.span(1) for m in ADDRESSED.finditer(text)}
+    if (":" in text or "=" in text) and any(k in low for low in (text.lower(),) for k in FIELD):
+        out |= {m.span(1) for m in FIELDED.finditer(text)}
+    return sorted(out)
+
+
+def personal(text: str) -> list[S.Span]:
+    """The base spans, and the names that do not overlap one."""
+    spans = S.personal(text)
+    return spans + [("name", a, b) for a, b in names(text) if not _inside(a, b, spans)]
 
 
 def entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if '0' <= c <= '9')}"
+    return f"{kind}:{value.lower() if kind in ('email', 'ip', 'name') else ''.join(c for c in value if '0' <= c <= '9')}"
 
 
 def contexts(text: str, spans: list[S.Span]):
@@ -111,6 +135,7 @@ def _words_before(text: str, a: int, spans: list[S.Span]) -> list[str]:
 
 
 PAIRS = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("contexts", T.LongType())])
+WORDS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("term", T.StringType())])
 COUNTS = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
 
 
@@ -120,7 +145,7 @@ def _pair_rows(batches):
         sums: Counter = Counter()
         seen: dict[tuple, set[int]] = {}
         for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-            spans = S.personal(text)
+            spans = personal(text)
             for t in _words_inside(text, spans):
                 sums[None, t, 0] += 1
             for who, terms in contexts(text, spans):
@@ -133,29 +158,35 @@ def _pair_rows(batches):
 
 
 def _count_rows(terms):
-    """Sums of a task; the known terms bound what it holds."""
+    """Sums of a task, of the known terms or of all words; a null term counts all."""
+
+    def out(sums: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=COUNTS.names)
 
     def run(batches):
-        known = terms.value
+        known = None if terms is None else terms.value
         sums: Counter = Counter()
-        words = 0
         for batch in batches:
             texts = strings(batch.column(0))
             for i, j in steps(texts):
                 for text in texts[i:j]:
                     found = TERM.findall(text.lower())
-                    words += len(found)
-                    sums.update(w for w in found if w in known)
-        yield pa.RecordBatch.from_arrays([pa.array([*sums, None], pa.string()), pa.array([*sums.values(), words], pa.int64())], names=COUNTS.names)
+                    sums[None] += len(found)
+                    sums.update(found if known is None else [w for w in found if w in known])
+                if len(sums) > WORDS_HELD and known is None:
+                    yield out(sums)
+                    sums = Counter()
+        yield out(sums)
 
     return run
 
 
-def _blocks(terms: DataFrame, n: int):
-    """The terms in blocks by hash, each small enough to broadcast."""
-    blocks = -(-n // BLOCK)
-    for k in range(blocks):
-        yield [r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).select("term").collect()]
+def _distinct_words(batches):
+    """(doc, term) of each text's distinct words."""
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+            found = list(set(TERM.findall(text.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(found, pa.string())], names=WORDS.names)
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -186,13 +217,10 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3,
     n = terms.count()
     if not n:
         return none
-    counts = None
-    for block in _blocks(terms, n):
-        shared = spark.sparkContext.broadcast(frozenset(block))
-        counted = materialize(texts.select("text").mapInArrow(_count_rows(shared), COUNTS).groupBy("term").agg(F.sum("n").alias("total")), "pii-counts")
-        words = counted.filter("term IS NULL").agg(F.sum("total")).first()[0]
-        counted = counted.filter("term IS NOT NULL")
-        counts = counted if counts is None else counts.unionByName(counted)
+    shared = spark.sparkContext.broadcast(frozenset(r.term for r in terms.collect())) if n <= BROADCAST_TERMS else None
+    counted = materialize(texts.select("text").mapInArrow(_count_rows(shared), COUNTS).groupBy("term").agg(F.sum("n").alias("total")), "pii-counts")
+    words = counted.filter("term IS NULL").agg(F.sum("total")).first()[0]
+    counts = counted.filter("term IS NOT NULL")
     inside = sums.filter("entity IS NULL").select("term", F.col("n").alias("inside"))
     counts = counts.join(inside, "term", "left").select("term", (F.col("total") - F.coalesce("inside", F.lit(0))).alias("total"))
     entities = sums.filter("term IS NULL").select("entity", F.col("n").alias("entity_n"))
@@ -209,80 +237,78 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3,
     return materialize(rated.groupBy("term").agg(F.max("ratio").alias("ratio")).filter(F.col("ratio") >= generalise_at), "pii-terms")
 
 
-def _base(docs: DataFrame, text_col: str, spans_col: str) -> DataFrame:
-    return map_text(docs, [T.StructField(spans_col, S.SPANS)], lambda: lambda texts: [[S.rows(S.ordered(S.personal(x), KINDS)) for x in texts]], text_col)
-
-
-def _with_terms(docs: DataFrame, terms, text_col: str, spans_col: str) -> DataFrame:
-    """Base spans and those of one block of terms, in one pass."""
+def _spans(text: str, known: dict[str, bool]) -> list[dict]:
+    """The spans of a text with those of the known terms; a term that is True there is one to remove."""
+    spans = personal(text)
+    if known:
+        low = [(known.get(m.group().lower()), m.span()) for m in TERM.finditer(text)]
+        spans += [("gone" if strong else "term", *at) for strong, at in low if strong is not None and not _inside(*at, spans)]
+    return S.rows(S.ordered(spans, KINDS))
 
-    def make():
-        known = terms.value
 
-        def one(text: str) -> list[dict]:
-            spans = S.personal(text)
-            low = [m for m in TERM.finditer(text) if m.group().lower() in known]
-            spans += [("term", *m.span()) for m in low if not _inside(*m.span(), spans)]
-            return S.rows(S.ordered(spans, KINDS))
+def _mark(docs: DataFrame, terms: DataFrame, text_col: str, spans_col: str, remove_at: float | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``spans_col``; terms from ``remove_at`` on have the kind "gone"."""
+    spark = docs.sparkSession
+    terms = terms.select("term", (F.col("ratio") >= F.lit(remove_at) if remove_at is not None else F.lit(False)).alias("strong"))
+    n = terms.count()
+    if n <= BROADCAST_TERMS:
+        shared = spark.sparkContext.broadcast({r.term: r.strong for r in terms.collect()})
+
+        def make():
+            known = shared.value
+            return lambda texts: [[_spans(x, known) for x in texts]]
+
+        return map_text(docs, [T.StructField(spans_col, S.SPANS)], make, text_col)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    docs = docs.withColumn("__doc", F.xxhash64(text))
+    found = docs.select("__doc", text.alias("text")).mapInArrow(_distinct_words, WORDS).join(terms, "term").groupBy(F.col("doc").alias("__doc"))
+    # A text has at most its own distinct words here.
+    found = materialize(found.agg(F.map_from_entries(F.collect_set(F.struct("term", "strong"))).alias("__terms"), F.count("*").alias("size")), "pii-found")
+    joined = join_hot(docs, found.select("__doc", "__terms"), "__doc", hot_keys(docs.groupBy("__doc").agg(F.count("*").alias("size")), "__doc", docs.count()), "left")
+    names = [c for c in docs.columns if c not in (spans_col, "__doc")]
+    source = joined.select(*[f"`{c}`" for c in names], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"), "__terms")
 
-        return lambda texts: [[one(x) for x in texts]]
+    def run(batches):
+        for batch in batches:
+            known = [dict(x or ()) for x in batch.column(len(names) + 1).to_pylist()]
+            spans = [_spans(x, k) for x, k in zip(strings(batch.column(len(names))), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(spans, to_arrow(S.SPANS))], names=[*names, spans_col])
 
-    return map_text(docs, [T.StructField(spans_col, S.SPANS)], make, text_col)
+    return source.mapInArrow(run, T.StructType([*[joined.schema[c] for c in names], T.StructField(spans_col, S.SPANS)]))
 
 
 def scan(docs: DataFrame, text_col: str = "text", support: int = 3, generalise_at: float = 0.9, terms: DataFrame | None = None, spans_col: str = "pii_spans") -> DataFrame:
-    """All columns of ``docs`` and ``spans_col``, the base spans and those of disclosing terms."""
-    spark = docs.sparkSession
-    if terms is None:
-        terms = disclosing_terms(docs, text_col, support, generalise_at)
-    n = terms.count()
-    if not n:
-        return _base(docs, text_col, spans_col)
-    out = None
-    for block in _blocks(terms, n):
-        shared = spark.sparkContext.broadcast(frozenset(block))
-        if out is None:
-            out = _with_terms(docs, shared, text_col, spans_col)
-        else:
-            more = _with_terms(out.withColumnRenamed(spans_col, "__spans"), shared, text_col, spans_col)
-            out = more.withColumn(spans_col, F.array_sort(F.array_union("__spans", spans_col), _compare)).drop("__spans")
-    return out
+    """All columns of ``docs`` and ``spans_col``: the base spans, names, and disclosing terms."""
+    return _mark(docs, disclosing_terms(docs, text_col, support, generalise_at) if terms is None else terms, text_col, spans_col)
 
 
-def _compare(x, y):
-    place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    a, b = F.struct(x["start"], place(x), x["end"]), F.struct(y["start"], place(y), y["end"])
-    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+def broader(word: str) -> str:
+    """The class of all words of this form."""
+    return "[ACRONYM]" if word.isupper() and len(word) < 6 else "[NAME]" if word[:1].isupper() else "[WORD]"
 
 
-def cut(text: str, spans: list[tuple[str, int, int]], removed: frozenset[str] = frozenset()) -> str:
-    """The text with each span replaced by its class; overlapping spans go as one, terms in ``removed`` go entirely."""
+def cut(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span replaced by its class, and without terms to remove; overlapping spans go as one."""
     out, at = [], 0
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
         if a >= at:
-            mark = LABEL.get(kind, "[TERM]") if kind != "term" or text[a:b].lower() not in removed else ""
-            out += [text[at:a], mark]
+            out += [text[at:a], "" if kind == "gone" else broader(text[a:b]) if kind == "term" else LABEL[kind]]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """``docs`` with personal data masked, disclosing terms generalised, and the strongest of these removed."""
-    spark = docs.sparkSession
-    terms = disclosing_terms(docs, text_col, support, generalise_at)
-    scanned = scan(docs, text_col, support, generalise_at, terms, "__pii")
-    strong = terms.filter(F.col("ratio") >= remove_at)
-    gone = [spark.sparkContext.broadcast(frozenset(b)) for b in _blocks(strong, strong.count())]
+    scanned = _mark(docs, disclosing_terms(docs, text_col, support, generalise_at), text_col, "__pii", remove_at)
     names = docs.columns
     at = names.index(text_col)
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields])
 
     def run(batches):
-        removed = frozenset().union(*[g.value for g in gone])
         for batch in batches:
             texts = strings(batch.column(at).cast(pa.string()))
             spans = batch.column(len(names)).to_pylist()
-            made = [cut(x, [(s["kind"], s["start"], s["end"]) for s in found], removed) if found else x for x, found in zip(texts, spans, strict=True)]
+            made = [cut(x, [(s["kind"], s["start"], s["end"]) for s in found]) if found else x for x, found in zip(texts, spans, strict=True)]
             columns = [pa.array(made, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -296,5 +322,6 @@ def digests(scanned: DataFrame, spans_col: str = "pii_spans") -> DataFrame:
         *[S.count(s, k).alias(f"n_{k}") for k in BASE],
         F.sha2(S.joined(s, BASE), 256).alias("base_sha256"),
         S.joined(s).alias("spans"),
+        S.count(s, "name").alias("n_name"),
         S.count(s, "term").alias("n_term"),
     )

@@ -143,6 +143,41 @@ def test_op10_terms_by_brute_force(spark):
     assert "ann@x.org" not in clean[0] and "[EMAIL]" in clean[0] and "zorbla" not in clean[0] and clean[20] == texts[20] and clean[46] == ""
 
 
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_op10_query_finds_planted_terms(spark, words, tmp_path, monkeypatch, most):
+    """The query and the masking, also where the terms are too many to broadcast."""
+    from stratalode.llm import queries
+
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    texts = [f"{words(30)}\n{words(2)} Quillon ann@x.org, {words(3)}\n{words(20)}" for _ in range(5)]
+    texts += [f"{words(40)}\nfor Dr. Hugo Brandt, OBFU {words(4)}\n{words(20)} Quillon" if i == 0 else f"{words(40)}\nwith Mr Hugo Brandt, OBFU {words(5)}" for i in range(5)]
+    texts += [words(70) for _ in range(120)] + [None, "", texts[0]]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, term string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\b(Quillon|OBFU)\b", t)]
+        want += [f"name:{m.start(1)}:{m.end(1)}" for m in re.finditer(r"(?:Dr\.|Mr) (Hugo Brandt)", t)]
+        assert set(want) <= set(rows[i].spans.split(",")), t
+        assert rows[i].n_email == t.count("@") and rows[i].n_name == t.count("Hugo Brandt")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, remove_at=1.1).collect()}  # nothing is removed, all is generalised
+    assert "[NAME] [EMAIL]" in clean[0] and "Dr. [NAME], [ACRONYM]" in clean[5] and clean[5].endswith("[NAME]") and clean[130] == ""
+    gone = pii.sanitise(docs, remove_at=0.9).filter("doc_id = 5").first().text
+    assert "OBFU" not in gone and "[ACRONYM]" not in gone
+
+
+def test_names_by_address_and_field():
+    def found(t):
+        return [t[a:b] for a, b in pii.names(t)]
+
+    assert found("Dear Dr. Ann Smithson, name: Émile Zola; Mr Bean and Herr Müller-Lüdenscheidt") == ["Ann Smithson", "Émile Zola", "Bean", "Müller-Lüdenscheidt"]
+    assert found("{'patient': 'Bob Ross'}") == ["Bob Ross"]
+    for t in ("Drawn Together", "the name of Ann", "name: lower case", "", "Mr.", "filename: Readme"):
+        assert found(t) == [], t
+
+
 def test_near_copies_disclose_nothing(spark):
     docs = spark.createDataFrame([(i, "the quaint vellichor hired ann@x.org last spring") for i in range(40)] + [(99, "other text")], "doc_id long, text string")
     assert pii.disclosing_terms(docs).count() == 0
