@@ -1,11 +1,14 @@
 """Quality classifier: averaged subword embeddings with a softmax, trained by stochastic gradient descent.
 
 A document's features are its words, the character 3- to 5-grams of each word
-between ``<`` and ``>``, and its end mark, all hashed into one table of learned
-vectors; a word 3-gram that occurred before in the document has a feature of
-its own.  The document vector is the mean of its feature vectors, and two
-softmax outputs give the score.  As the output is linear in that mean, scoring
-needs one number a feature, and a word's sum is computed once for each task.
+between ``<`` and ``>``, its word 2- and 3-grams, and its end mark, all hashed into
+one table of learned vectors.  A word n-gram counts twice: as its words, and with
+each word replaced by its first place in the n-gram, so that "a a b" and "c c d"
+share the vector of "1 1 3" and repetition can be learned from other words.  The
+document vector is the mean of its feature vectors, each occurrence counting
+once, and two softmax outputs give the score.  As the output is linear in that
+mean, scoring needs one number a feature, and a word's sum is computed once for
+each task.
 
 The fit uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` texts and
 ``SAMPLE_BYTES`` bytes, the same number of each class where there are as many,
@@ -37,7 +40,7 @@ REMEMBERED = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINDALL = re.compile(WORD).findall
 END = 0  # bucket of the end mark
-AGAIN = 1  # bucket of a repeated word 3-gram
+PLACES = 1 << 40  # added to the codes of n-grams of places, so that they hash as no word n-gram does
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -45,8 +48,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat buckets of the words' features, and how many each word has."""
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat buckets of the words' features, how many each word has, and each word's hash."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     lens = np.array([len(w) for w in words], dtype=np.int64) + 2
     chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lens)
@@ -60,25 +65,35 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(left[: len(h)] >= n)
             found.append(_mix(h[at] + np.uint64(n)))
             owners.append(owner[at])
-    powers = np.arange(1, len(chars) + 1, dtype=np.uint64)
-    inside = powers - np.repeat((ends - lens).astype(np.uint64), lens)
-    whole = np.add.reduceat(_mix(chars * np.uint64(0x100000001B3) + inside), ends - lens) if len(words) else np.zeros(0, np.uint64)
+    inside = np.arange(1, len(chars) + 1, dtype=np.uint64) - np.repeat((ends - lens).astype(np.uint64), lens)
+    whole = np.add.reduceat(_mix(chars * np.uint64(0x100000001B3) + inside), ends - lens)
     found.append(_mix(whole + np.uint64(99)))
     owners.append(np.arange(len(words)))
     buckets, owners_ = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners_, kind="stable")
-    flat = (buckets[order] % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
-    return flat, np.bincount(owners_, minlength=len(words))
+    return _bucket(buckets[order]), np.bincount(owners_, minlength=len(words)), _mix(whole)
 
 
-def repeats(ids: np.ndarray) -> int:
-    """Words equal to the one before, and word 3-grams that occurred before; ids name the document's words."""
-    same = int(np.count_nonzero(ids[1:] == ids[:-1]))
-    if len(ids) < 4:
-        return same
-    ids = ids.astype(np.uint64)
-    grams = _mix(_mix(_mix(ids[:-2]) + ids[1:-1]) + ids[2:])
-    return same + len(grams) - len(np.unique(grams))
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+
+
+def gram_features(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the word 2- and 3-grams of words in order, and the owner of each; n-grams stay within one owner."""
+    h, found, owners = hashes[ids], [], []
+    for n in (2, 3):
+        m = max(0, len(ids) - n + 1)
+        at = np.flatnonzero(owner[:m] == owner[n - 1 :]) if m else np.zeros(0, np.int64)
+        gram, places = np.full(len(at), n, dtype=np.uint64), np.full(len(at), PLACES * n, dtype=np.uint64)
+        for k in range(n):
+            first = np.full(len(at), k)
+            for j in range(k - 1, -1, -1):
+                first[ids[at + j] == ids[at + k]] = j
+            gram = _mix(gram * MIX + h[at + k])
+            places = places * np.uint64(n + 1) + first.astype(np.uint64)
+        found += [_bucket(gram), _bucket(_mix(places))]
+        owners += [owner[at]] * 2
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +101,12 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = FINDALL(text)
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
     ids = np.fromiter((names[w] for w in words), dtype=np.int64, count=len(words))
-    flat, lens = word_features(list(names)) if names else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    weights = np.repeat(np.bincount(ids, minlength=len(names)), lens)
-    counts = np.bincount(flat, weights=weights, minlength=2) if len(flat) else np.zeros(2)
-    counts[END], counts[AGAIN] = 1, AGAIN_WEIGHT * repeats(ids)
-    at = np.flatnonzero(counts)
-    return at.astype(np.int32), counts[at]
-
-
-#: A repeated 3-gram counts as about as much as the features of its last word.
-AGAIN_WEIGHT = 12
+    flat, lens, hashes = word_features(list(names))
+    grams, _ = gram_features(ids, hashes, np.zeros(len(ids), np.int64))
+    buckets = np.r_[flat, grams, END]
+    weights = np.r_[np.repeat(np.bincount(ids, minlength=len(names)), lens), np.ones(len(grams) + 1)]
+    at, where = np.unique(buckets, return_inverse=True)
+    return at.astype(np.int32), np.bincount(where, weights=weights)
 
 
 def fit(texts: list[str], labels: list[int], epochs: int | None = None, rate: float = RATE, seed: int = 1) -> np.ndarray:
@@ -135,7 +146,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.sums, self.counts = np.zeros(0), np.zeros(0)
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def score(self, texts: list[str]) -> np.ndarray:
         found = [FINDALL(x) for x in texts]
@@ -143,18 +154,17 @@ class Scorer:
         if len(self.index) > self.remembered:
             self.clear()
         if new := list(set(flat).difference(self.index)):
-            buckets, lens = word_features(new)
+            buckets, lens, hashes = word_features(new)
             sums = np.add.reduceat(self.weights[buckets], np.cumsum(lens) - lens)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.sums, self.counts = np.r_[self.sums, sums], np.r_[self.counts, lens]
+            self.sums, self.counts, self.hashes = np.r_[self.sums, sums], np.r_[self.counts, lens], np.r_[self.hashes, hashes]
         ids = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sizes = np.array([len(ws) for ws in found], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        sums = np.diff(np.r_[0.0, np.r_[0.0, np.cumsum(self.sums[ids])][ends]])
-        counts = np.diff(np.r_[0.0, np.r_[0.0, np.cumsum(self.counts[ids])][ends]])
-        again = np.array([repeats(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]) * AGAIN_WEIGHT
-        mean = (sums + self.weights[END] + again * self.weights[AGAIN]) / (counts + 1 + again)
-        return 1 / (1 + np.exp(-mean))
+        owner = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
+        grams, owners = gram_features(ids, self.hashes, owner)
+        total = lambda at, values=None: np.bincount(at, weights=values, minlength=len(found))
+        sums = total(owner, self.sums[ids]) + total(owners, self.weights[grams]) + self.weights[END]
+        counts = total(owner, self.counts[ids]) + total(owners) + 1
+        return 1 / (1 + np.exp(-sums / counts))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
