@@ -5,7 +5,7 @@ bit per rule.  A policy is a named, versioned set of rules, so applying one, or
 comparing many, is bit arithmetic on the ledger, and ablations are one bitwise
 aggregation: no text is read again.
 
-Windows are compared by 64-bit hashes of their five words, within one text.
+Lines and windows of five words are compared by 64-bit hashes, within one text.
 
 Defined results: null and empty texts have no words, so all measurements are 0
 and they fail ``few_words``; repeated rows repeat; texts of any length are
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from stratalode.llm.runtime import id_text
 
 SPACES = r"[\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
 
 #: (name, failing condition over the measurements), in the order of their bits; whole numbers only.
@@ -50,22 +52,23 @@ def mask(policy: tuple[str, int]) -> int:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the measurements of each whole text."""
     d = id_text(docs, id_col, text_col)
+    # Words are hashed where the text is split, so that later steps hold numbers only.
+    words = F.transform(F.split(F.btrim("text", F.lit(SPACE)), SPACES), lambda word: F.xxhash64(word))
     d = d.select(
         "doc_id",
-        F.array_remove(F.split("text", SPACES), "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.char_length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.when(F.btrim("text", F.lit(SPACE)) != "", words).otherwise(F.array().cast("array<bigint>")).alias("words"),
+        F.transform(F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), lambda line: F.xxhash64(line)).alias("lines"),
         F.regexp_replace("text", r"[^#*$%&|<>!A-Z]+", "").alias("marks"),
     )
     hashes = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
     d = d.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "word_chars",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.char_length(F.regexp_replace("marks", r"[!A-Z]+", "")).cast("long").alias("n_symbols"),
-        F.char_length(F.regexp_replace("marks", r"[^!]+", "")).cast("long").alias("n_exclamations"),
-        F.char_length(F.regexp_replace("marks", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
+        *[F.char_length(F.translate("marks", gone, "")).cast("long").alias(name) for name, gone in (("n_symbols", "!" + CAPITALS), ("n_exclamations", SYMBOLS + CAPITALS), ("n_capitals", "!" + SYMBOLS))],
         F.when(F.size("words") >= WINDOW, hashes).alias("windows"),
     )
     d = d.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
@@ -111,7 +114,7 @@ def ablations(found: DataFrame, policy: tuple[str, int]) -> DataFrame:
     counts = []
     for r in POLICIES[policy]:
         counts += [F.sum((bits.bitwiseAND(F.lit(BIT[r]).cast("long")) != 0).cast("long")).alias(f"f_{r}"), F.sum((bits == BIT[r]).cast("long")).alias(f"o_{r}")]
-    one = found.agg(F.count("*").alias("n"), F.bit_or(bits).alias("seen"), F.bit_and(bits).alias("always"), *counts)
+    one = found.agg(F.count("*").alias("n"), F.bit_and(bits).alias("always"), *counts)
     return one.select(F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(f"f_{r}"), F.lit(0)).alias("failed"), F.coalesce(F.col(f"o_{r}"), F.lit(0)).alias("only_this"), (F.coalesce(F.col("always"), F.lit(0)).bitwiseAND(F.lit(BIT[r]).cast("long")) != 0).alias("all_fail"))
         for r in POLICIES[policy]
