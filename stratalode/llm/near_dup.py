@@ -15,10 +15,11 @@
    least node that both are in; then the classes with such a pair are compared
    on their full sets.  Pairs are not emitted: a node gives a spanning forest of
    its links.
-4. Large nodes are contracted, at the first level before they branch and at the
-   last: their rows are dealt into blocks, each with the node's ``REPS`` most
-   central classes as well, and links found there join classes to parts.  Work
-   grows in proportion to the node.  A node of one part is done.  One in which all
+4. Large nodes are contracted, at the first level where a sample of the node's
+   classes is alike and at the last always: their rows are dealt into blocks, each
+   with the node's ``REPS`` most central classes as well, and links found there
+   join classes to parts.  Work grows in proportion to the node, and the sample
+   decides only when it is done.  A node of one part is done.  One in which all
    but ``SMALL / 2`` classes are one part is finished in blocks of that part, with
    the few others as guests in each.  Only what is left branches; after ``LEVELS``
    levels each two blocks of it are compared, so nothing is capped.
@@ -56,6 +57,8 @@ WIDTH, TREES, FIRST, LEVELS = 64, 12, 2, 4
 SMALL, MASS = 1024, 8_000_000
 #: Central classes of a large node that are in each of its blocks.
 REPS = 64
+#: Mean share of tokens in common, in millionths, of the most central class of a sample, from which a node is alike.
+ALIKE = 50_000
 #: Tokens that a pair must share to be compared in full.
 AGREE = 37
 #: Rows that may be broadcast to pick texts; with more, a shuffle join does it.
@@ -142,7 +145,7 @@ def _sized(rows: DataFrame, level: int) -> DataFrame:
     sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("part").alias("low"), F.max("part").alias("high"))
     blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("mass") / MASS)).cast("int").alias("blocks")
     # A table, so that Spark can split the rows of a hot node in the join.
-    sizes = materialize(sizes.filter("low <> high").select("node", blocks), f"near-sizes{level}")
+    sizes = materialize(sizes.filter("low <> high").select("node", "size", blocks), f"near-sizes{level}")
     return materialize(rows.join(sizes, "node"), f"near-sized{level}")
 
 
@@ -150,10 +153,26 @@ def _own(blocks) -> F.Column:
     return F.pmod(F.xxhash64("cid", "node"), blocks).cast("int")
 
 
-def _places(rows: DataFrame, block, side=0) -> DataFrame:
-    """Rows to compare: block, the node it is of, class and part.  Two rows of one side other than 0 are not compared."""
-    side = F.lit(side) if isinstance(side, int) else side
-    return rows.select(block.alias("block"), F.col("node").alias("home"), side.alias("side"), "cid", "part")
+#: How a class is in the blocks of its node: in one, in all but its own as a guest, or in each pair of blocks with its own.
+ONE, GUEST, PAIRS = 0, 1, 2
+
+
+def _places(rows: DataFrame, kind: int, block=None, own=None) -> DataFrame:
+    """Rows to compare: class, part, and place (the node, and how the class is in its blocks)."""
+    block = F.lit(0).cast("long") if block is None else block
+    blocks = F.col("blocks") if kind else F.lit(0)
+    own = F.lit(-1) if own is None else own
+    return rows.select("cid", "part", F.struct(F.col("node").alias("home"), F.lit(kind).alias("kind"), block.alias("block"), blocks.alias("blocks"), own.alias("own")).alias("place"))
+
+
+def _blocks(place) -> F.Column:
+    """(block, side) of a place; two rows of one side other than 0 are not compared."""
+    row = lambda block, side: F.struct(block.alias("block"), side.alias("side"))
+    all_of = F.sequence(F.lit(0), place["blocks"] - 1)
+    guest = F.transform(F.filter(all_of, lambda o: o != place["own"]), lambda o: row(F.xxhash64(place["home"], o), F.lit(1)))
+    side = lambda o: F.when(place["own"] == o, 0).when(place["own"] < o, 1).otherwise(2)
+    pairs = F.transform(all_of, lambda o: row(F.xxhash64(place["home"], F.least(o, place["own"]), F.greatest(o, place["own"])), side(o)))
+    return F.when(place["kind"] == ONE, F.array(row(place["block"], F.lit(0)))).when(place["kind"] == GUEST, guest).otherwise(pairs)
 
 
 class Join:
@@ -183,57 +202,63 @@ class Join:
             rows = materialize(rows, f"near-level{level}")
             sized = _sized(rows, level)
             discard(rows)
-            found.append(_places(sized.filter("blocks = 1"), F.col("node")))
-            large = sized.filter("blocks > 1")
-            if large.isEmpty():
-                break
-            left = large
-            if self.parts is not None and level in (1, LEVELS):
-                left = self.finish(left, found)
-            if (self.parts is None or level == LEVELS) and not left.isEmpty():
-                self.contract(left)
-                left = self.finish(_sized(self.parted(left.select(*PLACE.names)), level), found)
+            found.append(_places(sized.filter("blocks = 1"), ONE, F.col("node")))
+            left = sized.filter("blocks > 1")
             if left.isEmpty():
                 break
+            if level in (1, LEVELS):
+                if self.parts is not None:
+                    left = self.finish(left, found)
+                if (self.parts is None or level == LEVELS) and self.contract(left, level == LEVELS):
+                    left = self.finish(_sized(self.parted(left.select(*PLACE.names)), level), found)
+                if left.isEmpty():
+                    break
             if level < LEVELS:
                 rows = left.join(self.classes.select("cid", "tokens"), "cid").select("node", "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
             else:
                 # Still many parts: each two blocks of about half a small node are compared.
-                dealt = left.withColumn("blocks", 2 * F.col("blocks")).withColumn("own", _own(F.col("blocks")))
-                dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-                found.append(_places(dealt, F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")), side))
+                dealt = left.withColumn("blocks", 2 * F.col("blocks"))
+                found.append(_places(dealt, PAIRS, own=_own(F.col("blocks"))))
         places = found[0]
         for f in found[1:]:
             places = places.unionByName(f)
-        self.add(self.compare(self.parted(places), once=True))
+        self.add(self.compare(places, once=True))
 
-    def contract(self, large: DataFrame) -> None:
-        """Join classes of large nodes to parts: blocks compared in themselves and with the node's most central classes."""
+    def contract(self, large: DataFrame, full: bool) -> bool:
+        """Join classes of large nodes to parts: blocks compared in themselves and with the node's most central classes.
+
+        All nodes and all their classes are looked at if ``full``; else a sample of
+        each node, and only nodes with a sample that is alike are contracted.
+        """
         blocks = F.greatest(F.ceil(F.col("blocks") * SMALL / max(1, SMALL - REPS)), F.lit(2)).cast("int")
         dealt = large.withColumn("blocks", blocks).withColumn("own", _own(F.col("blocks")))
-        rows = dealt.join(self.short, "cid").select(F.xxhash64("node", "own").alias("block"), "node", "cid", "tokens")
-        best = _by_block(rows).mapInArrow(_central, CENTRAL)
-        # One for each of REPS hash slots: the number is fixed, and no node's rows are ranked in one task.
-        reps = best.groupBy("node", F.pmod(F.xxhash64("cid"), F.lit(REPS)).alias("slot")).agg(F.max(F.struct("score", "cid")).alias("best"))
-        reps = materialize(reps.select("node", F.col("best.cid").alias("cid")).distinct(), "near-reps")
-        guests = dealt.join(reps, ["node", "cid"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> own")
-        places = _places(dealt, F.xxhash64("node", "own")).unionByName(_places(guests, F.xxhash64("node", "other"), 1))
+        looked = dealt.withColumn("block", F.xxhash64("node", "own")) if full else dealt.filter(F.pmod(F.xxhash64("cid", "node", F.lit("sample")), F.col("size")) < SMALL // 2).withColumn("block", F.col("node"))
+        best = _by_block(looked.join(self.short, "cid").select("block", "node", "cid", "tokens")).mapInArrow(_central(0 if full else ALIKE), CENTRAL)
+        if full:
+            # One for each of REPS hash slots: the number is fixed, and no node's rows are ranked in one task.
+            best = best.groupBy("node", F.pmod(F.xxhash64("cid"), F.lit(REPS)).alias("slot")).agg(F.max(F.struct("score", "cid")).alias("best")).select("node", F.col("best.cid").alias("cid"))
+        reps = materialize(best.select("node", "cid"), "near-reps")
+        if reps.isEmpty():
+            return False
+        if not full:
+            dealt = dealt.join(reps.select("node").distinct(), "node", "left_semi")
+        guests = dealt.join(reps, ["node", "cid"], "left_semi")
+        places = _places(dealt, ONE, F.xxhash64("node", "own")).unionByName(_places(guests, GUEST, own=F.col("own")))
         self.add(self.compare(places, once=False))
+        return True
 
     def finish(self, sized: DataFrame, found: list[DataFrame]) -> DataFrame:
         """Add the places of the nodes that can be compared now; the rows of the others."""
         counts = sized.groupBy("node", "part").agg(F.count("*").alias("n"))
-        most = counts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size"))
-        few = F.col("size") - F.col("most.n") <= SMALL // 2
+        most = counts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
+        few = F.col("all") - F.col("most.n") <= SMALL // 2
         most = materialize(most.select("node", F.col("most.part").alias("main"), few.alias("few")), "near-most")
         rows = materialize(sized.join(most, "node"), "near-left")
         mixed = rows.filter("few").withColumn("blocks", 2 * F.col("blocks"))
-        members = _places(mixed.filter("part = main"), F.xxhash64("node", _own(F.col("blocks"))))
         others = mixed.filter("part <> main")
-        guests = _places(others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), F.xxhash64("node", "other"), 1)
-        among = _places(others, F.xxhash64("node", F.lit(-1)))
-        found += [members, guests, among]
+        found.append(_places(mixed.filter("part = main"), ONE, F.xxhash64("node", _own(F.col("blocks")))))
+        found.append(_places(others, GUEST))
+        found.append(_places(others, ONE, F.xxhash64("node", F.lit(-1))))
         return rows.filter("NOT few").drop("main", "few")
 
     def compare(self, places: DataFrame, once: bool) -> DataFrame:
@@ -241,14 +266,16 @@ class Join:
 
         With ``once``, a pair is compared only in the least node that both classes are in.
         """
-        if once:
-            places = materialize(places, "near-places")
-            shared = places.groupBy("cid").agg(F.collect_set("home").alias("shared"))  # a few nodes a tree
-            places = places.join(shared, "cid")
-        else:
-            places = places.withColumn("shared", F.array("home"))
-        rows = places.join(self.short, "cid").select("block", "home", "side", "cid", "part", "n_shingles", "tokens", "shared")
-        likely = materialize(_by_block(rows).mapInArrow(_likely, LIKELY), "near-likely")
+        # A few places a class and tree: how many blocks a guest is in shows only after the join.
+        rows = places.groupBy("cid").agg(F.first("part").alias("part"), F.collect_list("place").alias("places"))
+        if self.parts is not None:
+            parts = self.parts.select(F.col("node").alias("cid"), "root")
+            rows = rows.join(parts, "cid", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+        rows = rows.join(self.short, "cid").withColumn("shared", F.array_distinct("places.home") if once else F.array().cast("array<long>"))
+        rows = rows.select("cid", "part", "n_shingles", "tokens", "shared", F.explode("places").alias("place"))
+        rows = rows.select("cid", "part", "n_shingles", "tokens", "shared", F.col("place.home").alias("home"), F.explode(_blocks(F.col("place"))).alias("at"))
+        rows = rows.select("at.block", "home", "at.side", "cid", "part", "n_shingles", "tokens", "shared")
+        likely = materialize(_by_block(rows).mapInArrow(_likely(once), LIKELY), "near-likely")
         self.fetch(likely.select("cid").distinct())
         sets = None
         for s in self.sets:
@@ -262,7 +289,7 @@ class Join:
         wanted = wanted.join(self.classes.select("cid", "rep_key"), "cid")
         for s in self.sets:
             wanted = wanted.join(s.select("cid"), "cid", "left_anti")
-        self.sets.append(materialize(class_sets(self.docs, materialize(wanted, "near-wanted"), self.k).dropDuplicates(["cid"]), "near-sets"))
+        self.sets.append(materialize(class_sets(self.docs, materialize(wanted, "near-wanted"), self.k), "near-sets"))
 
     def add(self, links: DataFrame) -> None:
         """The parts with the links added."""
@@ -295,56 +322,66 @@ def _bits(tokens: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
 
 
-def _central(batches):
-    """(node, cid, score) of the REPS classes of each block that share the most tokens with the others."""
-    for block, node, cid, tokens in _nodes(batches, 4):
-        bits, taken = _bits(tokens), []
-        scores = np.zeros(len(bits), dtype=np.int64)
-        for a, b in runs(np.asarray(block)):
-            for x in range(WIDTH):
-                _, at, n = np.unique(bits[a:b, x], return_inverse=True, return_counts=True)
-                scores[a:b] += n[at]
-            # In proportion, so that blocks of unlike sizes compare.
-            scores[a:b] = scores[a:b] * 1_000_000 // ((b - a) * WIDTH)
-            taken.append(a + np.argsort(-scores[a:b], kind="stable")[:REPS])
-        at = pa.array(np.concatenate(taken) if taken else [], pa.int64())
-        yield pa.RecordBatch.from_arrays([node.take(at), cid.take(at), pa.array(scores).take(at)], names=CENTRAL.names)
-
-
-def _likely(batches):
-    """LIKELY rows of the classes that have, in this block and its node first, a pair which may be similar."""
-    for block, home, side, cid, part, size, tokens, shared in _nodes(batches, 8):
-        blocks, homes, sides, sizes, parts = (np.asarray(x) for x in (block, home, side, size, part))
-        bits = _bits(tokens)
-        by_size: dict[int, list[int]] = {}
-        for a, b in runs(blocks):
-            by_size.setdefault(b - a, []).append(a)
-        marked = np.zeros(len(blocks), dtype=bool)
-        lists: dict[int, set] = {}
-
-        def in_nodes(i: int) -> set:
-            if i not in lists:
-                lists[i] = set(shared[i].as_py())
-            return lists[i]
-
-        for m, starts in by_size.items():
-            if m < 2:
-                continue
-            for x in range(0, len(starts), step := max(1, 4_000_000 // (m * m * WIDTH))):
-                at = np.array(starts[x : x + step])
-                rows = at[:, None] + np.arange(m)
-                group, n, own, of = bits[rows], sizes[rows], parts[rows], sides[rows]
-                for i in range(m - 1):  # class i against all after it, in all blocks of this size
-                    low, high = np.minimum(n[:, i + 1 :], n[:, i : i + 1]), np.maximum(n[:, i + 1 :], n[:, i : i + 1])
-                    able = (100 * low >= 80 * high) & (own[:, i + 1 :] != own[:, i : i + 1]) & ((of[:, i : i + 1] == 0) | (of[:, i + 1 :] != of[:, i : i + 1]))
-                    if not able.any():
-                        continue
-                    likely = able & (_agreement(group, i) >= AGREE)
-                    g, j = np.nonzero(likely & ~(marked[rows[:, i : i + 1]] & marked[rows[:, i + 1 :]]))
-                    for p, q in zip(rows[g, i].tolist(), rows[g, i + 1 + j].tolist(), strict=True):
-                        if not (marked[p] and marked[q]) and min(in_nodes(p) & in_nodes(q)) == homes[p]:
-                            marked[p] = marked[q] = True
-        yield pa.RecordBatch.from_arrays([pa.array(blocks[marked]), pa.array(np.asarray(cid)[marked]), pa.array(parts[marked])], names=LIKELY.names)
+def _central(least: int):
+    """(node, cid, score) of the REPS classes of each block that share the most tokens with the others, in blocks where the best has ``least``."""
+
+    def run(batches):
+        for block, node, cid, tokens in _nodes(batches, 4):
+            bits, taken = _bits(tokens), [np.zeros(0, np.int64)]
+            scores = np.zeros(len(bits), dtype=np.int64)
+            for a, b in runs(np.asarray(block)):
+                for x in range(WIDTH):
+                    _, at, n = np.unique(bits[a:b, x], return_inverse=True, return_counts=True)
+                    scores[a:b] += n[at]
+                # In proportion, so that blocks of unlike sizes compare.
+                scores[a:b] = scores[a:b] * 1_000_000 // ((b - a) * WIDTH)
+                order = a + np.argsort(-scores[a:b], kind="stable")[:REPS]
+                if scores[order[0]] >= least:
+                    taken.append(order)
+            at = pa.array(np.concatenate(taken))
+            yield pa.RecordBatch.from_arrays([node.take(at), cid.take(at), pa.array(scores).take(at)], names=CENTRAL.names)
+
+    return run
+
+
+def _likely(once: bool):
+    """LIKELY rows of the classes that have in a block, with ``once`` in the least node of both, a pair which may be similar."""
+
+    def run(batches):
+        for block, home, side, cid, part, size, tokens, shared in _nodes(batches, 8):
+            blocks, homes, sides, sizes, parts = (np.asarray(x) for x in (block, home, side, size, part))
+            bits = _bits(tokens)
+            by_size: dict[int, list[int]] = {}
+            for a, b in runs(blocks):
+                by_size.setdefault(b - a, []).append(a)
+            marked = np.zeros(len(blocks), dtype=bool)
+            lists: dict[int, set] = {}
+
+            def in_nodes(i: int) -> set:
+                if i not in lists:
+                    lists[i] = set(shared[i].as_py())
+                return lists[i]
+
+            for m, starts in by_size.items():
+                if m < 2:
+                    continue
+                for x in range(0, len(starts), step := max(1, 4_000_000 // (m * m * WIDTH))):
+                    at = np.array(starts[x : x + step])
+                    rows = at[:, None] + np.arange(m)
+                    group, n, own, of = bits[rows], sizes[rows], parts[rows], sides[rows]
+                    for i in range(m - 1):  # class i against all after it, in all blocks of this size
+                        low, high = np.minimum(n[:, i + 1 :], n[:, i : i + 1]), np.maximum(n[:, i + 1 :], n[:, i : i + 1])
+                        able = (100 * low >= 80 * high) & (own[:, i + 1 :] != own[:, i : i + 1]) & ((of[:, i : i + 1] == 0) | (of[:, i + 1 :] != of[:, i : i + 1]))
+                        if not able.any():
+                            continue
+                        likely = able & (_agreement(group, i) >= AGREE)
+                        g, j = np.nonzero(likely & ~(marked[rows[:, i : i + 1]] & marked[rows[:, i + 1 :]]))
+                        for p, q in zip(rows[g, i].tolist(), rows[g, i + 1 + j].tolist(), strict=True):
+                            if not (marked[p] and marked[q]) and (not once or min(in_nodes(p) & in_nodes(q)) == homes[p]):
+                                marked[p] = marked[q] = True
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[marked]), pa.array(np.asarray(cid)[marked]), pa.array(parts[marked])], names=LIKELY.names)
+
+    return run
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -409,7 +446,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     rows = keyed(docs).join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "row_key").select("want", "text")
 
     def run(batches):
+        seen: set[int] = set()  # rows equal in id and text: one a task
         for batch in batches:
+            new = [not (c in seen or seen.add(c)) for c in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for i, j, texts in _texts(batch):
                 sets = shingle_sets(texts, k)
                 same = set_digests(sets)[0].view(np.int64) == np.asarray(batch.column(0).slice(i, j - i))
