@@ -70,7 +70,12 @@ def assemble(object_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
     Each object is put together in one task from rows sorted by index; a missing
     chunk gives null data.  Objects without chunks are empty and are not here.
     """
-    rows = object_chunks.join(chunks.select("chunk_hash", "data"), "chunk_hash", "left").select("object_id", "chunk_index", "data")
+    return _joined(object_chunks.join(chunks.select("chunk_hash", "data"), "chunk_hash", "left"))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """(object_id, data): the data of rows (object_id, chunk_index, data) joined in order; null if one is."""
+    rows = rows.select("object_id", "chunk_index", "data")
     rows = rows.repartition("object_id").sortWithinPartitions("object_id", "chunk_index")
 
     def run(batches):
@@ -122,11 +127,6 @@ def read_range(objects: DataFrame, object_chunks: DataFrame, chunks: DataFrame,
     return objects.select("object_id", "size_bytes").join(parts, "object_id", "left").select("object_id", data.alias("data"))
 
 
-def _joined(rows: DataFrame) -> DataFrame:
-    sorted_parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "data"))), lambda x: x["data"])
-    return rows.groupBy("object_id").agg(F.aggregate(sorted_parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
-
-
 def manifest_shape(objects: DataFrame, object_chunks: DataFrame) -> DataFrame:
     """(object_id, sound): indexes run from 0 without gaps, offsets are the sums of the sizes before, totals agree."""
     w = Window.partitionBy("object_id").orderBy("chunk_index")
@@ -148,12 +148,17 @@ def references(chunks: DataFrame, object_chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_hash", "size_bytes").join(n, "chunk_hash", "left").select("chunk_hash", "size_bytes", F.coalesce("n", F.lit(0)).cast("long").alias("refs"))
 
 
+def dead_chunks(object_chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """(chunk_hash) of the chunks that only the objects ``gone`` (object_id) refer to."""
+    theirs = object_chunks.join(gone, "object_id", "left_semi").select("chunk_hash").distinct()
+    return theirs.join(object_chunks.join(gone, "object_id", "left_anti").select("chunk_hash"), "chunk_hash", "left_anti")
+
+
 def delete(objects: DataFrame, chunks: DataFrame, object_chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables without the objects ``gone`` (object_id) and the chunks that only they referred to; loose chunks stay."""
     ids = gone.select("object_id").distinct()
     left = object_chunks.join(ids, "object_id", "left_anti")
-    theirs = object_chunks.join(ids, "object_id", "left_semi").select("chunk_hash").distinct()
-    dead = theirs.join(left.select("chunk_hash"), "chunk_hash", "left_anti")
+    dead = dead_chunks(object_chunks, ids)
     return objects.join(ids, "object_id", "left_anti").select(*objects.columns), chunks.join(dead, "chunk_hash", "left_anti").select(*chunks.columns), left.select(*object_chunks.columns)
 
 

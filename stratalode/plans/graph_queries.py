@@ -92,11 +92,6 @@ def _info(spark, sf_dir):
     return G.info(spark.createDataFrame([(tables.GRAPH,), ("void",)], "name string"), *_graph(spark, sf_dir))
 
 
-@_add("graph_list", f"WITH {CTE} SELECT kind, count(*) AS node_count FROM n GROUP BY kind")
-def _list(spark, sf_dir):
-    return tables.nodes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("node_count"))
-
-
 @_add(
     "graph_delete_node",
     f"WITH {CTE} SELECT edge_type, count(*) AS n FROM e WHERE from_node_id <> 'nation:3' AND to_node_id <> 'nation:3' GROUP BY edge_type",

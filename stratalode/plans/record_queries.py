@@ -162,17 +162,21 @@ def _subquery(spark, sf_dir):
     return n.join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("c", zero).alias("customers"), F.coalesce("s", zero).alias("suppliers"))
 
 
-@_add("rec_upsert", "SELECT doc_id, CASE WHEN l.doc_id % 4 = 0 THEN 9 ELSE quality END AS quality FROM labels l UNION ALL SELECT doc_id, 9 FROM documents d WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
-def _upsert(spark, sf_dir):
+def _quality(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The labels, and a row for every document to put into them."""
     old = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    new = table(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select("doc_id", F.lit(9).cast(old.schema["quality"].dataType).alias("quality"))
+    return old, table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 10).cast(old.schema["quality"].dataType).alias("quality"))
+
+
+@_add("rec_upsert", "SELECT doc_id, (n_chars % 10)::INTEGER AS quality FROM documents UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def _upsert(spark, sf_dir):
+    old, new = _quality(spark, sf_dir)
     return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
-@_add("rec_insert_ignore", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@_add("rec_insert_ignore", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, (n_chars % 10)::INTEGER FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _ignore(spark, sf_dir):
-    old = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    new = table(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select("doc_id", F.lit(9).cast(old.schema["quality"].dataType).alias("quality"))
+    old, new = _quality(spark, sf_dir)
     return old.unionByName(new.join(old.select("doc_id"), "doc_id", "left_anti"))
 
 
@@ -186,12 +190,12 @@ def _sequence(spark, sf_dir):
 for _name, _op in (("union", "union"), ("intersect", "intersect"), ("except", "subtract")):
 
     def _set(spark, sf_dir, op=_op):
-        c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").filter("s_suppkey < 40").select(F.col("s_nationkey").alias("k"))
+        c, s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
         out = getattr(c, op)(s)
         return out.distinct() if op == "union" else out
 
     QUERIES[f"rec_{_name}"] = _set
-    SQL[f"rec_{_name}"] = f"SELECT c_nationkey AS k FROM customer {_name.upper()} SELECT s_nationkey FROM supplier WHERE s_suppkey < 40"
+    SQL[f"rec_{_name}"] = f"SELECT c_custkey AS k FROM customer {_name.upper()} SELECT s_suppkey FROM supplier"
 
 
 @_add("rec_window_rank", "SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 3")

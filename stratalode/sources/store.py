@@ -4,10 +4,13 @@
 writes manifest n + 1 and fails with ``Busy`` if it is there already, so writers
 of one store are serialised without locks, and readers keep their snapshot.  A
 transaction is a stack of table maps in the driver; savepoints are its frames.
+Bound stores write theirs first, and the main one names the epoch of each: only
+its manifest makes the commit, and bound manifests ahead of it are passed over.
 
 Parts of the vector and graph tables that hold the rows of one collection or
 graph say so in their name (a digest of it), so a search reads only the parts of
-its collection, and an update rewrites only these.
+its collection.  A part is a folder or, once some of its files were rewritten,
+what is left of them: an update or delete rewrites the files that hold its keys.
 
 Private tables may be routed to a bound store of their own (objects, vectors).
 """
@@ -35,6 +38,8 @@ SUFFIX = ".strata"
 MAGIC, VERSION = "stratalode-store", 1
 ROLES = {"object": schemas.OBJECT_TABLES, "vector": schemas.VECTOR_TABLES}
 DEFAULT_GRAPH = "default"
+#: The keys of nodes and edges.
+NODE, EDGE = ["graph_name", "node_id"], ["graph_name", "from_node_id", "edge_type", "to_node_id"]
 #: The column that names the owner of a row, where parts can belong to one owner.
 OWNER = {"vectors": "collection_name", "graph_nodes": "graph_name", "graph_edges": "graph_name"}
 
@@ -49,6 +54,7 @@ class Store:
         self.hub = Hub()
         self.bound: dict[str, Store] = {}
         self.closed = False
+        self.busy_timeout = 0.0
         self.changes = self.total_changes = 0
         self.last_insert_id = 0
 
@@ -72,7 +78,14 @@ class Store:
         return store
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, read_only: bool = False, load_bound: bool = True) -> Store:
+    def open(cls, spark: SparkSession, root: str, read_only: bool = False, load_bound: bool = True, busy_timeout: float = 0.0) -> Store:
+        """A handle on the newest snapshot; ``busy_timeout`` (seconds) is for ``run``."""
+        store = cls._open(spark, root, read_only, load_bound)
+        store.busy_timeout = busy_timeout
+        return store
+
+    @classmethod
+    def _open(cls, spark: SparkSession, root: str, read_only: bool, load_bound: bool, epoch: int | None = None) -> Store:
         root = root.rstrip("/")
         if not root.endswith(SUFFIX):
             raise E.NotStorePath(root)
@@ -80,7 +93,11 @@ class Store:
         names = files.names(f"{root}/manifests")
         if not names:
             raise E.NotStore(root)
-        manifest = json.loads(files.read(f"{root}/manifests/{names[-1]}"))
+        # A bound store is read at the epoch that the main one names: a commit that was cut off leaves a later one.
+        for name in reversed(names):
+            manifest = json.loads(files.read(f"{root}/manifests/{name}"))
+            if epoch is None or manifest.get("epoch", 0) <= epoch:
+                break
         if manifest.get("magic") != MAGIC:
             raise E.NotStore(root)
         if manifest.get("format_version") != VERSION:
@@ -92,7 +109,7 @@ class Store:
                 raise E.NotStore(f"{root}: table {name}")
         if load_bound:
             for role, entry in manifest["bound"].items():
-                other = cls.open(spark, entry["path"], read_only, load_bound=False)
+                other = cls._open(spark, entry["path"], read_only, False, entry["epoch"])
                 m = other.manifest
                 if m["role"] != role or m["store_id"] != entry["store_id"] or m["bound_set_id"] != entry["bound_set_id"] or m["epoch"] != entry["epoch"]:
                     raise E.BoundStoreInvalid(f"{role}: {entry['path']}")
@@ -119,6 +136,41 @@ class Store:
         df.write.parquet(path)
         return [path]
 
+    @staticmethod
+    def _folder(path: str) -> str:
+        """The name of a part's folder; a path may be a file in it."""
+        return path.rsplit("/", 2)[1] if path.endswith(".parquet") else path.rsplit("/", 1)[1]
+
+    def _is_mixed(self, path: str) -> bool:
+        return "-of-" not in self._folder(path)
+
+    def _rewritten(self, name: str, keys: DataFrame, new: DataFrame | None, owner: str | None) -> list[str]:
+        """The parts of a table without the rows of ``keys`` (some of its columns), and with ``new``; only files that hold such rows are rewritten."""
+        old = self.manifest["tables"][name]
+        schema, on = schemas.PRIVATE[name], keys.columns
+        able = [p for p in old if owner is None or self._is_mixed(p) or self._folder(p).endswith(self._mark(owner))]
+        touched: dict[str, set[str]] = {}
+        if able:
+            at = self.spark.read.schema(schema).parquet(*able).select(*on, F.col("_metadata.file_path").alias("__file"))
+            for (file,) in at.join(vectors.bounded(keys), on, "left_semi").select("__file").distinct().toLocalIterator():
+                touched.setdefault(file.rsplit("/", 2)[1], set()).add(file.rsplit("/", 1)[1])
+        out, rewrite = [], {}
+        for path in old:
+            folder = self._folder(path)
+            if folder not in touched:
+                out.append(path)
+                continue
+            base = path.rsplit("/", 1)[0] if path.endswith(".parquet") else path
+            names = [path.rsplit("/", 1)[1]] if path.endswith(".parquet") else [n for n in self.files.names(path) if n.endswith(".parquet")]
+            out += [f"{base}/{n}" for n in names if n not in touched[folder]]
+            rewrite.setdefault(None if self._is_mixed(path) else owner, []).extend(f"{base}/{n}" for n in names if n in touched[folder])
+        for whose, files in rewrite.items():
+            rows = self.spark.read.schema(schema).parquet(*files).join(vectors.bounded(keys), on, "left_anti").select(*schema.names)
+            if new is not None and whose == owner:
+                rows, new = rows.unionByName(new.select(*schema.names)), None
+            out += self._write(rows, name, whose)
+        return out if new is None else out + self._write(new.select(*schema.names), name, owner)
+
     def _routed(self, name: str) -> Store:
         for role, tables in ROLES.items():
             if name in tables and role in self.bound:
@@ -133,7 +185,7 @@ class Store:
         if name in schemas.PRIVATE:
             paths = m["tables"][name]
             if owner is not None:
-                paths = [p for p in paths if "-of-" not in p.rsplit("/", 1)[1] or p.endswith(self._mark(owner))]
+                paths = [p for p in paths if self._is_mixed(p) or self._folder(p).endswith(self._mark(owner))]
             if not paths:
                 return self.spark.createDataFrame([], schemas.PRIVATE[name])
             return self.spark.read.schema(schemas.PRIVATE[name]).parquet(*paths)
@@ -148,9 +200,10 @@ class Store:
         return sorted(self.manifest["user_tables"])
 
     def _change(self, changes: dict[str, tuple]) -> None:
-        """Apply {table: ('append' | 'replace', rows[, owner])} as one commit, or to the open transaction.
+        """Apply {table: ('append' | 'replace' | 'rewrite', rows[, owner])} as one commit, or to the open transaction.
 
-        With an owner, ``rows`` are all of the owner's, and the rows of others stay as they are.
+        With an owner, ``rows`` of a replacement are all of the owner's, and the rows of others stay as they
+        are.  The rows of 'rewrite' are (keys, new rows or None): rows of these keys go, new ones come.
         """
         if self.closed:
             raise E.ClosedHandle(self.root)
@@ -162,12 +215,13 @@ class Store:
             owner = owners[0] if owners else None
             home = self._routed(name)
             kind = "tables" if name in schemas.PRIVATE else "user_tables"
-            paths, old = home._write(rows, name, owner), home.manifest[kind].get(name, [])
+            old = home.manifest[kind].get(name, [])
+            paths = home._rewritten(name, *rows, owner) if how == "rewrite" else home._write(rows, name, owner)
             if how == "append":
                 paths = old + paths
-            elif owner is not None:
-                mixed = [p for p in old if "-of-" not in p.rsplit("/", 1)[1]]
-                paths += [p for p in old if p not in mixed and not p.endswith(self._mark(owner))]
+            elif how == "replace" and owner is not None:
+                mixed = [p for p in old if self._is_mixed(p)]
+                paths += [p for p in old if p not in mixed and not self._folder(p).endswith(self._mark(owner))]
                 if mixed:
                     others = self.spark.read.schema(schemas.PRIVATE[name]).parquet(*mixed).filter(~F.col(OWNER[name]).eqNullSafe(owner))
                     paths += home._write(others, name)
@@ -192,6 +246,27 @@ class Store:
                 raise E.Busy(home.root)
             home.number += 1
 
+    def refresh(self) -> None:
+        """Move the handle to the newest snapshot."""
+        if self.frames:
+            raise E.Misuse("a transaction is open")
+        new = Store._open(self.spark, self.root, self.read_only, True)
+        self.manifest, self.number, self.bound = new.manifest, new.number, new.bound
+
+    def run(self, action: Callable[[Store], object], busy_timeout: float | None = None):
+        """``action(store)``, again from the newest snapshot while another writer is first, for at most the busy timeout."""
+        end = time.monotonic() + (self.busy_timeout if busy_timeout is None else busy_timeout)
+        while True:
+            try:
+                return action(self)
+            except E.Busy:
+                if self.frames:
+                    self.rollback()
+                if time.monotonic() >= end:
+                    raise
+                time.sleep(0.01)
+                self.refresh()
+
     # Transactions
 
     def _snapshot(self) -> dict:
@@ -438,7 +513,7 @@ class Store:
         key = F.col("chunk_hash") == F.lit(bytearray(chunk_hash))
         if not self.has_object_chunk(chunk_hash) or self.table("object_chunks").filter(key).limit(1).count():
             return False
-        self._change({"chunks": ("replace", self.table("chunks").filter(~key))})
+        self._change({"chunks": ("rewrite", (self.spark.createDataFrame([(bytearray(chunk_hash),)], "chunk_hash binary"), None))})
         return True
 
     def assemble_object(self, object_id: bytes, size_bytes: int, chunks: list[dict]) -> None:
@@ -472,8 +547,8 @@ class Store:
         self._object_write()
         self._object(object_id)
         gone = self.spark.createDataFrame([(bytearray(object_id),)], "object_id binary")
-        o, c, m = objects.delete(self.table("objects"), self.table("chunks"), self.table("object_chunks"), gone)
-        self._change({"objects": ("replace", o), "chunks": ("replace", c), "object_chunks": ("replace", m)})
+        dead = objects.dead_chunks(self.table("object_chunks"), gone)
+        self._change({"objects": ("rewrite", (gone, None)), "chunks": ("rewrite", (dead, None)), "object_chunks": ("rewrite", (gone, None))})
 
     def object_writer(self):
         from stratalode.streaming.object_writer import ObjectWriter
@@ -526,8 +601,7 @@ class Store:
             raise E.VectorInvalid(f"rows that do not fit {collection!r}")
         old, new = self._vectors(collection), new.select(*schemas.VECTORS.names)
         if old.join(new.select("vector_id"), "vector_id", "left_semi").limit(1).count():
-            kept = old.join(new.select("vector_id"), "vector_id", "left_anti").select(*schemas.VECTORS.names)
-            self._change({"vectors": ("replace", kept.unionByName(new), collection)})
+            self._change({"vectors": ("rewrite", (new.select("collection_name", "vector_id"), new), collection)})
         else:
             self._change({"vectors": ("append", new, collection)})
 
@@ -550,7 +624,7 @@ class Store:
     def delete_vector(self, collection: str, vector_id: str) -> None:
         if not self.has_vector(collection, vector_id):
             raise E.VectorNotFound(vector_id)
-        self._change({"vectors": ("replace", self._vectors(collection).filter(F.col("vector_id") != vector_id), collection)})
+        self._change({"vectors": ("rewrite", (self.spark.createDataFrame([(collection, vector_id)], "collection_name string, vector_id string"), None), collection)})
 
     def delete_vector_collection(self, name: str) -> None:
         self._collection(name)
@@ -614,7 +688,7 @@ class Store:
         old = self._rows("graph_nodes", graph_name).filter(hit).collect()
         row = (graph_name, node_id, kind, target_type, target_namespace, target_ref, old[0].created_order if old else self._next("graph_nodes", graph_name))
         new = self.spark.createDataFrame([row], schemas.GRAPH_NODES)
-        self._change({"graph_nodes": ("replace", self._rows("graph_nodes", graph_name).filter(~hit).unionByName(new), graph_name) if old else ("append", new, graph_name)})
+        self._change({"graph_nodes": ("rewrite", (new.select("graph_name", "node_id"), new), graph_name) if old else ("append", new, graph_name)})
 
     def get_graph_node(self, node_id: str, graph_name: str = DEFAULT_GRAPH) -> dict:
         validate.graph_name(graph_name)
@@ -633,8 +707,9 @@ class Store:
 
     def delete_graph_node(self, node_id: str, graph_name: str = DEFAULT_GRAPH) -> None:
         self.get_graph_node(node_id, graph_name)
-        nodes, edges = graph.without_node(self._rows("graph_nodes", graph_name), self._rows("graph_edges", graph_name), graph_name, node_id)
-        self._change({"graph_nodes": ("replace", nodes, graph_name), "graph_edges": ("replace", edges, graph_name)})
+        node = self.spark.createDataFrame([(graph_name, node_id)], "graph_name string, node_id string")
+        edges = self._rows("graph_edges", graph_name).filter((F.col("from_node_id") == node_id) | (F.col("to_node_id") == node_id)).select(*EDGE)
+        self._change({"graph_nodes": ("rewrite", (node, None), graph_name), "graph_edges": ("rewrite", (edges, None), graph_name)})
 
     def _edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str):
         validate.graph_name(graph_name)
@@ -661,10 +736,26 @@ class Store:
 
     def delete_graph_edge(self, from_id: str, edge_type: str, to_id: str, graph_name: str = DEFAULT_GRAPH) -> None:
         self.get_graph_edge(from_id, edge_type, to_id, graph_name)
-        self._change({"graph_edges": ("replace", self._rows("graph_edges", graph_name).filter(~self._edge(from_id, edge_type, to_id, graph_name)), graph_name)})
+        edge = self.spark.createDataFrame([(graph_name, from_id, edge_type, to_id)], ", ".join(f"{c} string" for c in EDGE))
+        self._change({"graph_edges": ("rewrite", (edge, None), graph_name)})
 
     def put_graph_rows(self, nodes: DataFrame, edges: DataFrame, graph_name: str | None = None) -> None:
-        """Many nodes and edges at once, with their orders; say the graph if they are all of one."""
+        """Many nodes and edges at once, with their orders; say the graph if they are all of one.
+
+        All or none: graphs and ends of edges must be there, nodes and edges must be new and come once.
+        """
+        for rows, table, key, wrong in ((nodes, "graph_nodes", NODE, E.Constraint), (edges, "graph_edges", EDGE, E.Constraint)):
+            if graph_name is not None and rows.filter(~F.col("graph_name").eqNullSafe(graph_name)).limit(1).count():
+                raise E.GraphNotFound(f"rows that are not of {graph_name!r}")
+            old = self.table(table) if graph_name is None else self._rows(table, graph_name)
+            if rows.groupBy(*key).count().filter("count > 1").limit(1).count() or rows.join(old, key, "left_semi").limit(1).count():
+                raise wrong(f"{table}: {key}")
+            if rows.join(self.table("graphs").select(F.col("name").alias("graph_name")), "graph_name", "left_anti").limit(1).count():
+                raise E.GraphNotFound(table)
+        known = nodes.select(*NODE).unionByName((self.table("graph_nodes") if graph_name is None else self._rows("graph_nodes", graph_name)).select(*NODE))
+        ends = edges.select("graph_name", F.explode(F.array("from_node_id", "to_node_id")).alias("node_id"))
+        if ends.join(known, NODE, "left_anti").limit(1).count():
+            raise E.GraphNodeNotFound("an end of an edge")
         self._change({"graph_nodes": ("append", nodes.select(*schemas.GRAPH_NODES.names), graph_name), "graph_edges": ("append", edges.select(*schemas.GRAPH_EDGES.names), graph_name)})
 
     def graph_neighbors(self, node_id: str, graph_name: str = DEFAULT_GRAPH, direction: str = "outgoing", edge_type: str | None = None, limit: int = 10) -> DataFrame:
@@ -734,6 +825,8 @@ class Store:
         """Rewrite tables of several parts, and drop data and manifests that this snapshot does not use."""
         if self.frames:
             raise E.Misuse("no vacuum in a transaction")
+        if self.manifest["role"] != "main":
+            raise E.Misuse("a bound store's snapshot is the one that its main store names")
         many = [n for n, paths in {**self.manifest["tables"], **self.manifest["user_tables"]}.items() if len(paths) > 1 and self._routed(n) is self]
         for name in many:
             if name in OWNER:  # parts of one owner are merged with each other only
@@ -742,7 +835,7 @@ class Store:
                     self._change({name: ("replace", own.hint("rebalance"), owner)})
             else:
                 self._change({name: ("replace", self.table(name).hint("rebalance"))})
-        used = {p.rsplit("/", 1)[1] for paths in (*self.manifest["tables"].values(), *self.manifest["user_tables"].values()) for p in paths}
+        used = {self._folder(p) for paths in (*self.manifest["tables"].values(), *self.manifest["user_tables"].values()) for p in paths}
         for name in self.files.names(f"{self.root}/data"):
             if name not in used:
                 self.files.remove(f"{self.root}/data/{name}")
