@@ -2,6 +2,15 @@
 
 Quality classifier, near-duplicates, benchmark decontamination, personal data,
 encoding.  Between stages the rows are written as Parquet and read again.
+
+Defined results: a null text counts as empty in every stage, and comes out of the
+fourth one as empty; empty texts are scored by the classifier as any, are no near
+copies, hold no benchmark item, and encode to no ids.  Rows without id go through
+all stages; of equal rows with words one stays.  Of a group of near copies the row
+with the least id stays, rows without id last, and among equal ids the one with
+the least hash of id and text.  Columns beside the id and the text are handed on
+as they are, whatever their names.  An empty table gives an empty result, and
+without labels of both classes every document is kept by the first stage.
 """
 
 from __future__ import annotations
