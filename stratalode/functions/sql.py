@@ -9,17 +9,28 @@
   ``stored_distance_by_id_<metric>(collection, id, source)``: scalars of stored
   vectors; an id that is not there is an error;
 * ``graph_neighbors(graph, node, direction, edge_type, k)``: a table;
-* ``content_id(data)``, ``hex_id(data)``.
+* ``content_id(data)``, ``hex_id(data)``, ``zeroblob(n)``, ``glob_match(pattern, text)``.
+
+``with_walks`` runs a statement that calls ``graph_walk(graph, start, max_depth,
+edge_type, k)`` as a table: a walk needs one job a level, so calls are computed
+before the statement, and their arguments are constants.
 
 Wrong combinations of arguments raise from inside the plan.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalode import errors as E
+from stratalode.operators import graph
 from stratalode.validate import METRICS
 
+WALK = re.compile(r"\bgraph_walk\s*\(((?:[^()']|'(?:[^'\\]|\\.|'')*+')*+)\)", re.IGNORECASE)
+
 _DOT = "aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS double) * cast(y AS double)), 0D, (s, x) -> s + x)"
 
 
@@ -36,6 +47,10 @@ def register(spark: SparkSession, vectors: DataFrame | None = None, nodes: DataF
     """Register the functions; tables that are None leave theirs out."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION content_id(data BINARY) RETURNS BINARY RETURN unhex(sha2(data, 256))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hex_id(data BINARY) RETURNS STRING RETURN lower(hex(data))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION zeroblob(n INT) RETURNS BINARY RETURN unhex(repeat('00', n))")
+    # * and ? are wild, [..] and [^..] are sets, everything else is itself; case counts.
+    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION glob_match(pattern STRING, text STRING) RETURNS BOOLEAN
+        RETURN rlike(text, concat(r'(?s)\A', replace(replace(regexp_replace(pattern, r'([.\\$|(){}+]|(?<!\[)\^)', r'\\$1'), '*', '.*'), '?', '.'), r'\z'))""")
     for metric in METRICS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vector_distance_{metric}(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN {distance_sql(metric, 'a', 'b')}")
     if vectors is not None:
@@ -79,6 +94,16 @@ def register(spark: SparkSession, vectors: DataFrame | None = None, nodes: DataF
             SELECT cast(rank AS BIGINT), node_id, kind, edge_type FROM r WHERE rank <= graph_neighbors.k""")
 
 
-def register_walk(spark: SparkSession, name: str, rows: DataFrame) -> None:
-    """A walk's result as a view: a walk needs one job a level, which one SQL statement cannot express."""
-    rows.createOrReplaceTempView(name)
+def with_walks(spark: SparkSession, text: str, nodes: DataFrame, edges: DataFrame, args: dict | list | None = None) -> DataFrame:
+    """A statement in which ``graph_walk(graph, start, max_depth[, edge_type[, k]])`` stands for a walk's rows."""
+
+    def view(call: re.Match) -> str:
+        given = list(spark.sql(f"SELECT {call.group(1)}").first()) if call.group(1).strip() else []
+        if not 3 <= len(given) <= 5 or any(x is None for x in given[:3]):
+            raise E.GraphInvalid("graph_walk takes a graph, a start and a max_depth, then an edge type and a limit")
+        name, start, depth, edge_type, k = [*given, *[None] * (5 - len(given))]
+        found = f"stratalode_walk_{uuid.uuid4().hex}"
+        graph.walk(nodes, edges, name, start, depth, edge_type, 10 if k is None else k).createOrReplaceTempView(found)
+        return found
+
+    return spark.sql(WALK.sub(view, text), args=args)

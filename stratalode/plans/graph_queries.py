@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalode.functions.sql import register
+from stratalode.functions.sql import register, with_walks
 from stratalode.operators import diagnose
 from stratalode.operators import graph as G
 from stratalode.operators import vectors as V
@@ -87,6 +87,12 @@ for _name, _start, _depth, _limit, _edge in [
     QUERIES[_name], SQL[_name] = _run, _walk_sql(_start, _depth, _limit, _edge)
 
 
+@_add("graph_sql_walk", _walk_sql("region:1", 2, 60))
+def _sql_walk(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return with_walks(spark, f"SELECT * FROM graph_walk('{tables.GRAPH}', 'region:1', 2, NULL, 60)", nodes, stored(edges, "edges"))
+
+
 @_add("graph_info", f"WITH {CTE} SELECT '{tables.GRAPH}' AS name, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count UNION ALL SELECT 'void', 0, 0")
 def _info(spark, sf_dir):
     return G.info(spark.createDataFrame([(tables.GRAPH,), ("void",)], "name string"), *_graph(spark, sf_dir))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.functions.scalars import hex_id, object_id
+from stratalode.functions.sql import register
 from stratalode.plans import tables
 from stratalode.session import scratch, table
 from stratalode.sources.store import SUFFIX, Store, convert, numbered, restore
@@ -325,6 +326,18 @@ def _notifications(spark, sf_dir):
     return spark.createDataFrame(got, "place long, payload string")
 
 
+@_add("store_sql_notify", "SELECT n_name AS payload, 25 AS notified FROM nation")
+def _sql_notify(spark, sf_dir):
+    store = _new(spark)
+    store.put_table("nations", table(spark, sf_dir, "nation"))
+    inbox = store.listen("names")
+    n = store.sql("SELECT notify('names', n_name) FROM nations").count()
+    got = []
+    while item := inbox.try_receive():
+        got.append((item.payload, n))
+    return spark.createDataFrame(got, "payload string, notified long")
+
+
 @_add("stream_windows", "SELECT event_type AS channel, count(*) AS n FROM events GROUP BY event_type")
 def _windows(spark, sf_dir):
     """The notification log as a stream, read to its end, in windows of event time with a watermark."""
@@ -342,6 +355,20 @@ def _windows(spark, sf_dir):
     return spark.read.parquet(out).groupBy("channel").agg(F.sum("n").alias("n"))
 
 
+@_add("sql_glob", "SELECT s_name, s_name GLOB 'Supplier*[1-4]?' AS a, s_name GLOB '*#*[!0-9]' AS b FROM supplier")
+def _glob(spark, sf_dir):
+    register(spark)
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("stratalode_glob")
+    return spark.sql("SELECT s_name, glob_match('Supplier*[1-4]?', s_name) AS a, glob_match('*#*[^0-9]', s_name) AS b FROM stratalode_glob")
+
+
+@_add("sql_zeroblob", "SELECT r_regionkey, repeat('00', r_regionkey::BIGINT) AS zeros FROM region")
+def _zeroblob(spark, sf_dir):
+    register(spark)
+    table(spark, sf_dir, "region").createOrReplaceTempView("stratalode_zero")
+    return spark.sql("SELECT r_regionkey, hex(zeroblob(cast(r_regionkey AS int))) AS zeros FROM stratalode_zero")
+
+
 # Copies and bound stores
 
 

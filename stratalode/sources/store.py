@@ -20,6 +20,7 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 
 from stratalode import errors as E
 from stratalode import schemas, validate
-from stratalode.functions import fastcdc, scalars
+from stratalode.functions import fastcdc, scalars, sql
 from stratalode.operators import diagnose, graph, inspect, objects, vectors
 from stratalode.sources.files import Files
 from stratalode.streaming.hub import Hub, Subscription
 
 SUFFIX = ".strata"
 MAGIC, VERSION = "stratalode-store", 1
+NOTIFY = re.compile(r"\s*SELECT\s+notify\s*\(", re.IGNORECASE)
 ROLES = {"object": schemas.OBJECT_TABLES, "vector": schemas.VECTOR_TABLES}
 DEFAULT_GRAPH = "default"
 #: The keys of nodes and edges.
@@ -398,12 +400,19 @@ class Store:
         return n
 
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
-        """A query over the user tables (as views of their names) and the private tables (with the reserved prefix)."""
+        """A query over the user tables (as views of their names) and the private tables (with the reserved prefix).
+
+        ``graph_walk(…)`` can stand for a table, see ``functions.sql``; ``SELECT notify(channel, payload) …`` notifies.
+        """
         for name in self.manifest["user_tables"]:
             self.table(name).createOrReplaceTempView(name)
         for name in schemas.PRIVATE:
             self.table(name).createOrReplaceTempView(f"{validate.RESERVED}{name}")
-        return self.spark.sql(text, args=args)
+        if NOTIFY.match(text):
+            # One notification a row, under the rules of ``notify``; the result has a 1 for each.
+            sent = [self.notify(*row[0]) for row in sql.with_walks(self.spark, NOTIFY.sub("SELECT struct(", text, count=1), self.table("graph_nodes"), self.table("graph_edges"), args).toLocalIterator()]
+            return self.spark.range(len(sent)).select(F.lit(1).alias("notified"))
+        return sql.with_walks(self.spark, text, self.table("graph_nodes"), self.table("graph_edges"), args)
 
     # Objects
 

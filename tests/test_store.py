@@ -256,3 +256,78 @@ def test_parts_of_one_owner(spark, root):
     assert sorted((r.collection_name, r.vector_id) for r in again.table("vectors").collect()) == [("a", "y"), ("a", "z"), ("b", "x"), ("b", "y")]
     again.delete_vector_collection("b")
     assert again.table("vectors").count() == 2
+
+
+def test_an_update_rewrites_only_the_files_it_touches(spark, root):
+    store = Store.create(spark, root)
+    store.create_vector_collection("c", 2, "l2")
+    for i in range(3):
+        store.put_vectors("c", [(f"{i}-{k}", [i, k]) for k in range(4)])
+    before = store.manifest["tables"]["vectors"]
+    store.delete_vector("c", "1-2")
+    store.put_vector("c", "1-3", [7, 7])
+    after = store.manifest["tables"]["vectors"]
+    untouched = [p for p in before if p in after]
+    assert len(untouched) >= 2  # the other two puts
+    assert {r.vector_id for r in store.table("vectors").collect()} == {f"{i}-{k}" for i in range(3) for k in range(4)} - {"1-2"}
+    assert store.get_vector("c", "1-3") == [7, 7] and Store.open(spark, root).vector_collection_info("c")["vector_count"] == 11
+    store.vacuum()
+    assert Store.open(spark, root).vector_collection_info("c")["vector_count"] == 11
+
+
+def test_a_commit_that_was_cut_off_leaves_the_store_as_it_was(spark, root, tmp_path):
+    store = Store.create(spark, root)
+    store.create_vector_collection("c", 2, "l2")
+    store.put_vectors("c", [("a", [1, 2])])
+    store.split_store("vector", str(tmp_path / "v.strata"))
+    create = store.files.create
+    store.files.create = lambda path, text: False if path.startswith(root) else create(path, text)  # the bound manifest is written, the main one is not
+    with pytest.raises(E.Busy):
+        store.put_vectors("c", [("b", [3, 4])])
+    again = Store.open(spark, root)
+    assert not again.has_vector("c", "b") and again.get_vector("c", "a") == [1, 2]
+    again.put_vectors("c", [("d", [5, 6])])
+    assert {r.vector_id for r in Store.open(spark, root).table("vectors").collect()} == {"a", "d"}
+
+
+def test_bulk_graph_rows_are_checked(spark, root):
+    store = Store.create(spark, root)
+    store.create_graph("g")
+    node = lambda *ids: spark.createDataFrame([("g", i, "k", "none", None, None, n) for n, i in enumerate(ids)], schemas.GRAPH_NODES)
+    edge = lambda *ends: spark.createDataFrame([("g", a, "t", b, n) for n, (a, b) in enumerate(ends)], schemas.GRAPH_EDGES)
+    store.put_graph_rows(node("a", "b"), edge(("a", "b")), "g")
+    for nodes, edges, wrong in ((node("a"), edge(), E.Constraint), (node("c", "c"), edge(), E.Constraint), (node("c"), edge(("a", "b")), E.Constraint), (node("c"), edge(("c", "x")), E.GraphNodeNotFound), (node("c").withColumn("graph_name", F.lit("h")), edge(), E.GraphNotFound)):
+        with pytest.raises(wrong):
+            store.put_graph_rows(nodes, edges)
+    store.put_graph_rows(node("c"), edge(("b", "c")))
+    assert store.graph_info("g") == {"name": "g", "node_count": 3, "edge_count": 2}
+
+
+def test_run_tries_again_after_another_writer(spark, root):
+    first = Store.create(spark, root)
+    first.put_table("t", spark.range(10))
+    second = Store.open(spark, root)
+    first.delete_rows("t", "id = 1")
+    with pytest.raises(E.Busy):
+        second.delete_rows("t", "id = 2")
+    with pytest.raises(E.Busy):
+        Store.open(spark, root).run(lambda s: (_ for _ in ()).throw(E.Busy("always")))
+    second.run(lambda s: s.delete_rows("t", "id = 2"), busy_timeout=2.0)
+    assert Store.open(spark, root).table("t").count() == 8
+
+
+def test_sql_notify_and_walk(spark, root):
+    store = Store.create(spark, root)
+    inbox = store.listen("c")
+    with pytest.raises(E.StoreError):
+        store.sql("SELECT notify('', 'x')")
+    assert [r[0] for r in store.sql("SELECT notify('c', 'it''s') ").collect()] == [1]
+    assert inbox.try_receive().payload == "it's"
+    store.create_graph("g")
+    store.put_graph_node("it's", "k", "g")
+    store.put_graph_node("b", "k", "g")
+    store.put_graph_edge("it's", "t", "b", "g")
+    assert [r.node_id for r in store.sql("SELECT w.node_id FROM graph_walk('g', 'it''s', 1) w ORDER BY rank").collect()] == ["it's", "b"]
+    for text in ("SELECT * FROM graph_walk('g', 'b')", "SELECT * FROM graph_walk('g', NULL, 1)"):
+        with pytest.raises(E.GraphInvalid):
+            store.sql(text)
