@@ -1,11 +1,40 @@
-"""Connected components by alternating large and small stars, each step a table in the shared folder."""
+"""Connected components by alternating large and small stars, each step a table in the shared folder.
+
+Up to ``ONE_TASK`` links are taken in one task instead, with the same result.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm.runtime import materialize
+from stratalode.llm.runtime import discard, materialize
+
+#: Links of 16 bytes that one task may hold.
+ONE_TASK = 500_000
+
+
+def _in_one_task(batches):
+    held = list(batches)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *[np.asarray(x.column(c)) for x in held]]) for c in (0, 1))
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        # Hook the label of each end, then jump to labels of labels.
+        for ends in (left, right):
+            np.minimum.at(new, label[ends], low)
+            np.minimum.at(new, ends, low)
+        while (jump := new[new] != new).any():
+            new[jump] = new[new][jump]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label] if len(nodes) else nodes)], names=["node", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     a hub in the join with them.
     """
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = materialize(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "links")
+    if links.count() <= ONE_TASK:
+        return links.coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("size")), "links-least")
@@ -31,4 +62,6 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node links its smaller neighbours and itself to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        before = links
         links = materialize(small.filter("a <> b").distinct(), "links")
+        discard(before, least)

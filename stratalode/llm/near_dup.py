@@ -26,7 +26,7 @@
 5. Components of the links, by large and small stars.
 
 The trees come in two rounds.  The links of the first ``FIRST`` trees give
-parts, and in the other trees only pairs of different parts count.
+parts, and in the other trees only pairs of different parts count that no node had before.
 
 Skew: hot minwise tokens make large nodes, which are contracted and branch on; a
 hot class is one row, and the join back to its rows leaves these where they are.
@@ -61,8 +61,8 @@ REPS = 64
 ALIKE = 50_000
 #: Tokens that a pair must share to be compared in full.
 AGREE = 37
-#: Rows that may be broadcast to pick texts; with more, a shuffle join does it.
-BROADCAST_IDS = 1_000_000
+#: Rows of a few numbers that may be broadcast in a join; with more, a shuffle join does it.
+BROADCAST_ROWS = 500_000
 
 LONG = T.LongType()
 ROWS = T.StructType([T.StructField("doc_id", LONG), T.StructField("row_key", LONG), T.StructField("n_shingles", LONG), T.StructField("cid", LONG), T.StructField("digest", LONG), T.StructField("tokens", T.BinaryType())])
@@ -183,6 +183,8 @@ class Join:
         self.classes = classes
         self.short = classes.select("cid", "n_shingles", _low_bytes(F.col("tokens")).alias("tokens"))
         self.parts: DataFrame | None = None
+        #: The nodes in which a class was compared with all classes of other parts.
+        self.homes: DataFrame | None = None
         self.sets: list[DataFrame] = []
 
     def parted(self, rows: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ class Join:
         if self.parts is None:
             return rows
         names = rows.columns
-        found = rows.withColumnRenamed("part", "before").join(self.parts.select(F.col("node").alias("before"), "root"), "before", "left")
+        found = rows.withColumnRenamed("part", "before").join(_few(self.parts).select(F.col("node").alias("before"), "root"), "before", "left")
         return found.withColumn("part", F.coalesce("root", "before")).select(*names)
 
     def tree_rows(self, trees: range) -> None:
@@ -214,7 +216,7 @@ class Join:
                 if left.isEmpty():
                     break
             if level < LEVELS:
-                rows = left.join(self.classes.select("cid", "tokens"), "cid").select("node", "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
+                rows = self.classes.select("cid", "tokens").join(_few(left), "cid").select("node", "cid", "n_shingles", "part", "tokens").mapInArrow(_branch(trees), PLACE)
             else:
                 # Still many parts: each two blocks of about half a small node are compared.
                 dealt = left.withColumn("blocks", 2 * F.col("blocks"))
@@ -252,8 +254,8 @@ class Join:
         counts = sized.groupBy("node", "part").agg(F.count("*").alias("n"))
         most = counts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
         few = F.col("all") - F.col("most.n") <= SMALL // 2
-        most = materialize(most.select("node", F.col("most.part").alias("main"), few.alias("few")), "near-most")
-        rows = materialize(sized.join(most, "node"), "near-left")
+        most = most.select("node", F.col("most.part").alias("main"), few.alias("few"))
+        rows = materialize(sized.join(_few(materialize(most, "near-most")), "node"), "near-left")
         mixed = rows.filter("few").withColumn("blocks", 2 * F.col("blocks"))
         others = mixed.filter("part <> main")
         found.append(_places(mixed.filter("part = main"), ONE, F.xxhash64("node", _own(F.col("blocks")))))
@@ -264,38 +266,50 @@ class Join:
     def compare(self, places: DataFrame, once: bool) -> DataFrame:
         """LINKS between classes of different parts with similarity 0.8 or more: a spanning forest of them in each block.
 
-        With ``once``, a pair is compared only in the least node that both classes are in.
+        With ``once``, a pair is compared only in the least node that both classes are in, and not if one of the
+        first trees had both in a node.
         """
         # A few places a class and tree: how many blocks a guest is in shows only after the join.
         rows = places.groupBy("cid").agg(F.first("part").alias("part"), F.collect_list("place").alias("places"))
+        none = F.array().cast("array<long>")
+        rows = rows.withColumn("shared", F.array_distinct("places.home") if once else none).withColumn("before", none)
+        if once:
+            rows = materialize(rows, "near-places")
+            if self.homes is not None:
+                rows = rows.drop("before").join(self.homes, "cid", "left").withColumn("before", F.coalesce("before", none))
+            else:
+                self.homes = rows.select("cid", F.col("shared").alias("before"))
         if self.parts is not None:
-            parts = self.parts.select(F.col("node").alias("cid"), "root")
+            parts = _few(self.parts).select(F.col("node").alias("cid"), "root")
             rows = rows.join(parts, "cid", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
-        rows = rows.join(self.short, "cid").withColumn("shared", F.array_distinct("places.home") if once else F.array().cast("array<long>"))
-        rows = rows.select("cid", "part", "n_shingles", "tokens", "shared", F.explode("places").alias("place"))
-        rows = rows.select("cid", "part", "n_shingles", "tokens", "shared", F.col("place.home").alias("home"), F.explode(_blocks(F.col("place"))).alias("at"))
-        rows = rows.select("at.block", "home", "at.side", "cid", "part", "n_shingles", "tokens", "shared")
+        rows = rows.join(self.short, "cid")
+        rows = rows.select("cid", "part", "n_shingles", "tokens", "shared", "before", F.explode("places").alias("place"))
+        rows = rows.select("cid", "part", "n_shingles", "tokens", "shared", "before", F.col("place.home").alias("home"), F.explode(_blocks(F.col("place"))).alias("at"))
+        rows = rows.select("at.block", "home", "at.side", "cid", "part", "n_shingles", "tokens", "shared", "before")
         likely = materialize(_by_block(rows).mapInArrow(_likely(once), LIKELY), "near-likely")
         self.fetch(likely.select("cid").distinct())
         sets = None
         for s in self.sets:
             sets = s if sets is None else sets.unionByName(s)
-        links = materialize(_by_block(likely.join(sets, "cid").select("block", "cid", "part", "shingles")).mapInArrow(_verify, LINKS), "near-links")
+        links = materialize(_by_block(sets.join(_few(likely), "cid").select("block", "part", "shingles")).mapInArrow(_verify, LINKS), "near-links")
         discard(likely)
         return links
 
     def fetch(self, wanted: DataFrame) -> None:
         """Store the sets of the classes in ``wanted`` (cid) that are not stored yet."""
-        wanted = wanted.join(self.classes.select("cid", "rep_key"), "cid")
+        wanted = self.classes.select("cid", "rep_key").join(_few(materialize(wanted, "near-named")), "cid")
         for s in self.sets:
             wanted = wanted.join(s.select("cid"), "cid", "left_anti")
         self.sets.append(materialize(class_sets(self.docs, materialize(wanted, "near-wanted"), self.k), "near-sets"))
 
     def add(self, links: DataFrame) -> None:
-        """The parts with the links added."""
+        """The parts with links between them added."""
+        found = materialize(components(links), "near-joined")
         if self.parts is not None:
-            links = links.unionByName(self.parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.parts = materialize(components(links), "near-parts")
+            moved = self.parts.withColumnRenamed("root", "old").join(_few(found).select(F.col("node").alias("old"), "root"), "old", "left")
+            new = found.join(self.parts.select("node"), "node", "left_anti").select("node", "root")
+            found = materialize(moved.select("node", F.coalesce("root", "old").alias("root")).unionByName(new), "near-parts")
+        self.parts = found
 
 
 def _nodes(batches, columns: int) -> Iterator[list]:
@@ -348,20 +362,24 @@ def _likely(once: bool):
     """LIKELY rows of the classes that have in a block, with ``once`` in the least node of both, a pair which may be similar."""
 
     def run(batches):
-        for block, home, side, cid, part, size, tokens, shared in _nodes(batches, 8):
+        for block, home, side, cid, part, size, tokens, shared, before in _nodes(batches, 9):
             blocks, homes, sides, sizes, parts = (np.asarray(x) for x in (block, home, side, size, part))
             bits = _bits(tokens)
             by_size: dict[int, list[int]] = {}
             for a, b in runs(blocks):
                 by_size.setdefault(b - a, []).append(a)
             marked = np.zeros(len(blocks), dtype=bool)
-            lists: dict[int, set] = {}
+            lists: dict[int, tuple[set, set]] = {}
 
-            def in_nodes(i: int) -> set:
+            def in_nodes(i: int) -> tuple[set, set]:
                 if i not in lists:
-                    lists[i] = set(shared[i].as_py())
+                    lists[i] = set(shared[i].as_py()), set(before[i].as_py())
                 return lists[i]
 
+            def is_first(p: int, q: int) -> bool:
+                (a, earlier_a), (b, earlier_b) = in_nodes(p), in_nodes(q)
+                return min(a & b) == homes[p] and not earlier_a & earlier_b
+
             for m, starts in by_size.items():
                 if m < 2:
                     continue
@@ -377,7 +395,7 @@ def _likely(once: bool):
                         likely = able & (_agreement(group, i) >= AGREE)
                         g, j = np.nonzero(likely & ~(marked[rows[:, i : i + 1]] & marked[rows[:, i + 1 :]]))
                         for p, q in zip(rows[g, i].tolist(), rows[g, i + 1 + j].tolist(), strict=True):
-                            if not (marked[p] and marked[q]) and (not once or min(in_nodes(p) & in_nodes(q)) == homes[p]):
+                            if not (marked[p] and marked[q]) and (not once or is_first(p, q)):
                                 marked[p] = marked[q] = True
             yield pa.RecordBatch.from_arrays([pa.array(blocks[marked]), pa.array(np.asarray(cid)[marked]), pa.array(parts[marked])], names=LIKELY.names)
 
@@ -408,9 +426,9 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches):
-    """Links of each block's classes of different parts by their full sets, as a spanning forest."""
-    for block, cid, part, shingles in _nodes(batches, 4):
-        cids, parts = cid.to_pylist(), part.to_pylist()
+    """Links between the parts of each block's classes by their full sets, as a spanning forest."""
+    for block, part, shingles in _nodes(batches, 3):
+        parts = part.to_pylist()
         left, right = [], []
         for a, b in runs(np.asarray(block)):
             sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in shingles[a:b]]
@@ -429,8 +447,8 @@ def _verify(batches):
             for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
                 if (p := top(int(i))) != (q := top(int(j))):
                     root[p] = q
-                    left.append(cids[a + i])
-                    right.append(cids[a + j])
+                    left.append(parts[a + i])
+                    right.append(parts[a + j])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=LINKS.names)
 
 
@@ -441,9 +459,8 @@ def _by_block(rows: DataFrame) -> DataFrame:
 
 def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """SETS of the classes in ``wanted`` (cid, rep_key), from the text of one row of each."""
-    n = wanted.count()
-    reps = wanted.select(F.col("rep_key").alias("row_key"), F.col("cid").alias("want"))
-    rows = keyed(docs).join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "row_key").select("want", "text")
+    reps = _few(wanted).select(F.col("rep_key").alias("row_key"), F.col("cid").alias("want"))
+    rows = keyed(docs).join(reps, "row_key").select("want", "text")
 
     def run(batches):
         seen: set[int] = set()  # rows equal in id and text: one a task
@@ -514,4 +531,5 @@ def drop_similar(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    """A stored table with a broadcast hint, if it was counted to be small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
