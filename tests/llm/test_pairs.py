@@ -115,6 +115,40 @@ def test_op8_large_nodes_are_dealt_into_blocks(spark, words, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == plain_components(docs, 4)
 
 
+@pytest.mark.parametrize("star", [False, True])
+def test_op8_contracts_large_groups(spark, words, monkeypatch, star):
+    """A group of near copies that are alike, and one whose copies are like their original only, among other texts."""
+    for name, value in (("SMALL", 16), ("REPS", 4), ("LEVELS", 2)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(12)
+    base = words(120).split()
+    docs = [(0, " ".join(base))]
+    for i in range(1, 90):
+        w = list(base)
+        if star:  # each in a stretch of its own: about 0.85 like the original, 0.73 like each other
+            at = rng.randrange(0, 100)
+            w[at : at + 7] = words(7).split()
+        else:
+            w[rng.randrange(120)] = "changed"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, words(100)) for i in range(40)] + [(200 + i, t) for i, (_, t) in enumerate(near_copies(words, 10))]
+    rows = near_dup.similar(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == plain_components(docs, 4)
+
+
+def test_op8_keeps_one_row_of_each_group(spark, words):
+    """Rows without id link others, and rows are told apart by id and text together."""
+    a, b, c = words(60), words(60), words(60)
+    near = a.replace(a.split()[30], "changed", 1)
+    docs = [(None, a), (None, near), (5, b), (5, a), (9, b), (9, b), (None, c), (None, c), (3, ""), (3, ""), (4, None)]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, root long")
+    rows = near_dup.similar(table, 4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == plain_components(docs, 4)
+    left = sorted((str(r.doc_id), r.text or "") for r in near_dup.drop_similar(table, 4).collect())
+    # Of a and its near copy the row with an id, of b the least id, of c one row; texts without words all stay.
+    assert left == sorted([("5", a), ("5", b), ("None", c), ("3", ""), ("3", ""), ("4", "")])
+
+
 def test_op8_odd_rows(odd, none):
     rows = near_dup.similar(odd, 4).collect()
     assert len(rows) == odd.count()
@@ -123,6 +157,7 @@ def test_op8_odd_rows(odd, none):
     assert near_dup.similar(none, 4).count() == 0
     left = near_dup.drop_similar(odd, 4)
     assert left.columns == odd.columns and left.filter("doc_id = 7").count() == 0 and left.filter("doc_id IS NULL").count() == 1
+    assert left.filter("doc_id = 3").count() == 1  # of the repeated row one
 
 
 def test_components(spark):
