@@ -2,8 +2,8 @@
 
 Every rule is evaluated once; the ledger keeps its measurements and one failure
 bit per rule.  A policy is a named, versioned set of rules, so applying one, or
-comparing many, is bit arithmetic on the ledger, and ablations are one bitwise
-aggregation: no text is read again.
+comparing many, is bit arithmetic on the stored ledger, and ablations are one
+bitwise aggregation: no text is read again.
 
 Lines and windows of five words are compared by 64-bit hashes, within one text.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm.runtime import id_text
+from stratalode.llm.runtime import id_text, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -96,6 +96,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measure(docs, id_col, text_col).withColumn("failure_bits", bits)
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder, from which verdicts, policies and ablations come without another look at the texts."""
+    return materialize(ledger(docs, id_col, text_col), "quality-ledger")
+
+
 def fails(policy: tuple[str, int]) -> Column:
     return F.col("failure_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) != 0
 
@@ -121,13 +126,14 @@ def ablations(found: DataFrame, policy: tuple[str, int]) -> DataFrame:
     ])).alias("x")).select("x.*")
 
 
-def verdicts(docs: DataFrame, policy: tuple[str, int] = ("standard", 1)) -> DataFrame:
-    """The base measurements, base_failed, kept and the failure bits of each row."""
-    found = ledger(docs)
+def verdicts(docs: DataFrame, policy: tuple[str, int] = ("standard", 1), found: DataFrame | None = None) -> DataFrame:
+    """The base measurements, base_failed, kept (also by ``lenient``) and the failure bits of each row, from the stored ledger."""
+    found = stored_ledger(docs) if found is None else found
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         fails(("base", 1)).alias("base_failed"),
         (~fails(("base", 1)) & ~fails(policy)).alias("kept"),
+        (~fails(("lenient", 1))).alias("kept_lenient"),
         "failure_bits",
     )
 
@@ -151,5 +157,5 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
 b AS (SELECT *, ({bits})::BIGINT AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failure_bits & {mask(("base", 1))}) <> 0 AS base_failed,
-       (failure_bits & {mask(("base", 1)) | mask(policy)}) = 0 AS kept, failure_bits
+       (failure_bits & {mask(("base", 1)) | mask(policy)}) = 0 AS kept, (failure_bits & {mask(("lenient", 1))}) = 0 AS kept_lenient, failure_bits
 FROM b"""
